@@ -76,7 +76,8 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
         if 0 < size <= room:
             room -= size
             keep.append(row)
-    over = [(abs(room - size), row) for row, size in zip(twins["mix_row"], twins["size"]) if room < size < 2 * room]
+    held = set(keep)
+    over = [(abs(room - size), row) for row, size in zip(twins["mix_row"], twins["size"]) if room < size < 2 * room and row not in held]
     if over:  # one more brings the total nearer
         keep.append(min(over)[1])
     return pd.DataFrame({"mix_key": pdf["mix_key"].iloc[0], "mix_row": np.array(keep, dtype=np.int64), "fits": True})
