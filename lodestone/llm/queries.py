@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-from . import bpe, langid, mixing, quality, secrets
+from . import bpe, langid, linededup, lmscore, mixing, quality, secrets, simhash, topk
 from .common import remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_coverage").alias("coverage"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,5 +55,13 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_shard").alias("shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op4_quality_rules, op5_bpe, op6_secret_scans, op7_source_mixing)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_simhash, op4_quality_rules, op5_bpe, op6_secret_scans, op7_source_mixing, op9_line_dedup, op10_lm_scoring)}
 ORACLE: dict[str, str] = {}
