@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAMPLE, SLOTS_LOG2, HASHES, ORDERS, MIN_DF = 1500, 21, 2, (3, 4), 3
+SAMPLE, SLOTS_LOG2, HASHES, ORDERS, MIN_DF = 1000, 21, 2, (3, 4), 3
 #: A language holds an n-gram only if its rate there is at least this part of its highest rate in any language.
 RATIO = 0.5
 MAX_LANGUAGES = 62
