@@ -77,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
         if done is None:
             done = part
         else:
-            moved = done.join(part.withColumnsRenamed({"node": "root", "root": "next"}), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            moved = done.join(part.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
             done = cut(moved.unionByName(part))
     roots = done.select(F.col("root").alias("node"), "root").distinct()
     return done.unionByName(roots).distinct()
