@@ -52,18 +52,21 @@ def components(edges: DataFrame) -> DataFrame:
     edges has columns a and b (any order, repeats and loops allowed) of one orderable type. Returns one row
     for each node of an edge between different nodes: node, root (the least node of its component).
 
-    Every round maps each node to its least neighbour if that is smaller, follows that map once more, and
-    replaces edges by edges between images; equal images vanish, so stars end at once and chains halve.
-    Minima use partial aggregation, and a hub's edges spread over tasks by adaptive skew joins. A node may
-    be mapped in several rounds; all its images end at the component's least node, which never moves.
+    Every round maps each node to its least neighbour if that is smaller, follows the map until it rests (its
+    reach doubles each time), and replaces edges by edges between images. A round at least halves the nodes
+    that still have an edge, and stars end at once. Minima use partial aggregation, and a hub's edges spread over tasks by adaptive skew joins.
     """
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     maps: list[DataFrame] = []
     while not e.isEmpty():
-        step = cut(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
-        # Following the map twice keeps long chains short.
-        far = step.alias("s").join(step.alias("t"), F.col("s.to") == F.col("t.node"), "left").select("s.node", F.coalesce("t.to", "s.to").alias("to"))
-        far = cut(far)
+        far = cut(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
+        while True:
+            jump = far.alias("s").join(far.alias("t"), F.col("s.to") == F.col("t.node"), "left")
+            jump = cut(jump.select("s.node", F.coalesce("t.to", "s.to").alias("to"), F.col("t.to").isNotNull().alias("moved")))
+            rests = jump.where("moved").isEmpty()
+            far = jump.drop("moved")
+            if rests:
+                break
         maps.append(far)
         left = e.join(far.withColumnsRenamed({"node": "a", "to": "ra"}), "a", "left")
         both = left.join(far.withColumnsRenamed({"node": "b", "to": "rb"}), "b", "left")
@@ -80,4 +83,4 @@ def components(edges: DataFrame) -> DataFrame:
             moved = done.join(part.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
             done = cut(moved.unionByName(part))
     roots = done.select(F.col("root").alias("node"), "root").distinct()
-    return done.unionByName(roots).distinct()
+    return done.unionByName(roots)
