@@ -18,6 +18,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -162,17 +163,17 @@ def held(source: str) -> WordBPE:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int) and decoded text of every row of docs; path is the tokenizer file's place."""
+    """doc_id, n_tokens, ids and decoded_chars (code points of the decoded text) of every row; path is the tokenizer file's place."""
     source = open(path, encoding="utf-8").read()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = held(source)
         for pdf in batches:
             both = [bpe.both(t) for t in pdf["text"]]
-            ids = [[int.from_bytes(a[i : i + 4], "little") for i in range(0, len(a), 4)] for a, _ in both]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "decoded": [b for _, b in both]})
+            ids = [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in both]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded_chars": [len(b) for _, b in both]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, decoded_chars long")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

@@ -129,3 +129,11 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         return pd.DataFrame([decide(t, shared.value) for t in s], columns=["lang_pred", "lang_score", "lang_coverage"])
 
     return docs.withColumn("lang_id", predict(F.col(text))).select(*docs.columns, "lang_id.*")
+
+
+def keep_known(docs: DataFrame, model: dict, least: float = 0.2) -> DataFrame:
+    """docs without those that have no letter or whose n-grams are mostly of no known language; without a model only the former go."""
+    got = identify(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text"), model)
+    if not model["languages"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return got.where((F.col("lang_pred") != "und") & (F.col("lang_coverage") >= least)).select("row.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-from . import bpe, langid, linededup, lmscore, mixing, quality, secrets, simhash, topk
+from . import bpe, langid, linededup, lmscore, mixing, quality, secrets, simhash, suffixdedup, topk
 from .common import remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_shard").alias("shard"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -63,5 +67,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_simhash, op4_quality_rules, op5_bpe, op6_secret_scans, op7_source_mixing, op9_line_dedup, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_simhash, op4_quality_rules, op5_bpe, op6_secret_scans, op7_source_mixing, op8_suffix_dedup, op9_line_dedup, op10_lm_scoring)}
 ORACLE: dict[str, str] = {}
