@@ -326,12 +326,13 @@ def different(pieces: DataFrame, least: int, limit: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, limit: int = LIMIT) -> DataFrame:
     """rk, a, z: byte ranges of rows that are covered by repeated windows (ranges may overlap)."""
-    found = cut(anchor_rows(docs, least))
-    kinds = found.groupBy("gram", "around").agg(F.count("*").alias("m"))
-    several = cut(kinds.groupBy("gram").agg(F.sum("m").alias("all"), F.count("*").alias("kinds")).where("all > 1"))
-    live = found.join(several, "gram")
-    alike = live.where("kinds = 1").select("rk", "a", "z")
-    mixed = cut(live.where("kinds > 1").select("gram", "around", "rk", "a", "p", "z"))
+    # Computed again for the join rather than kept: hashing costs less than a table of all anchors.
+    found = anchor_rows(docs, least)
+    several = found.groupBy("gram").agg(F.count("*").alias("all"), F.min("around").alias("low"), F.max("around").alias("high")).where("all > 1")
+    several = cut(several.select("gram", (F.col("low") != F.col("high")).alias("differ")))
+    live = cut(found.join(several, "gram"))
+    alike = live.where("not differ").select("rk", "a", "z")
+    mixed = live.where("differ").select("gram", "around", "rk", "a", "p", "z")
     each = cut(mixed.groupBy("gram", "around").agg(F.count("*").alias("m"), F.min(F.struct("rk", "a", "p", "z")).alias("one")))
     copies = mixed.join(each.where("m > 1").select("gram", "around"), ["gram", "around"]).select("rk", "a", "z")
     want = each.groupBy(F.col("one.rk").alias("rk")).agg(F.collect_list(F.struct(F.col("gram").alias("g"), "m", "one.a", "one.p", "one.z")).alias("want"))
