@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 
 #: The pieces, as the tokenizer file states them.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE = 500_000
+#: Entries of a worker's cache; rows of a batch that are returned at once.
+CACHE, SLICE = 250_000, 256
 
 
 def byte_symbols() -> list[str]:
@@ -168,10 +169,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = held(source)
-        for pdf in batches:
-            both = [bpe.both(t) for t in pdf["text"]]
-            ids = [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in both]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded_chars": [len(b) for _, b in both]})
+        for whole in batches:
+            for lo in range(0, len(whole), SLICE):
+                pdf = whole.iloc[lo : lo + SLICE]
+                ids, chars = [], []
+                for text in pdf["text"]:
+                    a, b = bpe.both(text)
+                    ids.append(np.frombuffer(a, "<i4"))
+                    chars.append(len(b))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(x) for x in ids], "ids": ids, "decoded_chars": chars})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, decoded_chars long")
 
