@@ -11,7 +11,8 @@ blocks is one task, and each pair returns k rows a query at most, which a ranked
 limits every group before the shuffle). Memory is bounded by two blocks; nothing is broadcast.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count
-as padded with zeros; ties go to the smaller vec_id; a row never meets itself (by vec_id); a repeated vec_id
+as padded with zeros; ties go to the smaller vec_id; a row never meets itself (by vec_id); components too large for exact
+sums in double precision are multiplied as whole numbers, and scores beyond a long saturate; a repeated vec_id
 is searched and found once for each row; empty tables give empty results.
 """
 
@@ -85,6 +86,17 @@ def best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int)
     return out
 
 
+def best_whole(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """The same for components of any size, in whole numbers; scores beyond a long saturate."""
+    rows = [[int(c) for c in v] for v in x]
+    out = []
+    for r, v in enumerate(q):
+        mine = [int(c) for c in v]
+        scored = sorted((-sum(a * b for a, b in zip(mine, w)), int(i), j) for j, (w, i) in enumerate(zip(rows, xid)) if i != qid[r])
+        out += [(r, j, max(-(2**63), min(2**63 - 1, -s))) for s, _, j in scored[:k]]
+    return out
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score for each row of queries against all rows of vectors (vec_id, embedding)."""
     fine = lambda _: F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
@@ -92,8 +104,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SC
     asks = queries.select(F.col("vec_id").alias("query_id"), "embedding").where(F.col("vec_id").isNotNull() & fine("x"))
     sizes = rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("m")).first()
     n_q = asks.count()
-    if sizes.m is not None and (float(sizes.m) * scale + 1) ** 2 * max(1, sizes.d) >= 2.0**53:
-        raise ValueError("quantised components too large for exact sums in double precision")
+    # Beyond this, sums are no longer exact in double precision; whole numbers of any size take over.
+    huge = sizes.m is not None and (float(sizes.m) * scale + 1) ** 2 * max(1, sizes.d) >= 2.0**53
     width, parts, ask_parts = int(sizes.d or 1), max(1, -(-sizes.n // block)), max(1, -(-n_q // block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.withColumn("rb", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(parts)).cast("int")).withColumn("qb", every(ask_parts))
@@ -104,7 +116,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SC
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         q, x = matrix(left["embedding"], scale, width), matrix(right["embedding"], scale, width)
         qid, xid = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
-        got = best(q, qid, x, xid, k)
+        got = (best_whole if huge else best)(q, qid, x, xid, k)
         return pd.DataFrame({"query_id": [qid[a] for a, _, _ in got], "vec_id": [xid[b] for _, b, _ in got], "score": [int(s) for _, _, s in got]})
 
     near = asks.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(meet, "query_id long, vec_id long, score long")
