@@ -1,23 +1,15 @@
 """Reachability over an edge table (src, dst): bounded breadth-first search, closures, multi-source reach.
 
-Loops run on the driver, one join a hop; frontiers and visited sets stay distributed. Long loops cut their
-lineage by checkpoint() into the session's shared folder.
+Loops run on the driver, one join a hop; frontiers and visited sets stay distributed. Every hop cuts its
+lineage by a table in the session's shared folder.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
+from lodestone.storage import cut
 
 
 def walk(seeds: DataFrame, edges: DataFrame, depth: int, reverse: bool = True) -> DataFrame:
