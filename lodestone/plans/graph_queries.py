@@ -252,7 +252,7 @@ SELECT f.id, f.kind, f.rule_order, coalesce((SELECT string_agg(v.kind, ',' ORDER
 
 @query(CLASS_SQL)
 def classify_with_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """CLS-01 to CLS-08, CLS-10: the first rule that matches decides; later ones that differ are recorded."""
+    """CLS-01, CLS-10: the first rule that matches decides; later ones that differ are recorded. The rules are stand-ins on parts."""
     part = table(spark, d, "part").withColumn("id", F.concat(F.lit("part::"), F.col("p_partkey").cast("string")))
     heavy = table(spark, d, "lineitem").where("l_quantity >= 50").select(F.concat(F.lit("part::"), F.col("l_partkey").cast("string")).alias("id"))
     rules = [("test", F.col("p_type") == "PROMO"), ("endpoint", F.col("p_size") == 1), ("model", heavy), ("service", F.col("p_retailprice") > 1500)]
@@ -301,7 +301,7 @@ def rank_convergence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(REACH + ", h AS (SELECT start, min(CASE WHEN n.path = 'PROMO' THEN depth END) AS sink_depth FROM reached r JOIN nodes n ON n.id = r.node WHERE depth > 0 GROUP BY start) SELECT h.start, h.sink_depth FROM h WHERE h.sink_depth IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.dst = h.start)", recursive=True)
 def rank_headless(spark: SparkSession, d: str) -> DataFrame:
-    """PRC-F, PRC-G: starts that nothing calls and that reach a sink, with its least depth."""
+    """PRC-G: starts that nothing calls and that reach a sink, with its least depth."""
     at = G.nodes(spark, d).select(F.col("id").alias("node"), "path")
     h = _reach(spark, d).where("depth > 0").join(at, "node").groupBy("start").agg(F.min(F.when(F.col("path") == "PROMO", F.col("depth"))).alias("sink_depth")).where("sink_depth IS NOT NULL")
     return h.join(G.calls(spark, d).select(F.col("dst").alias("start")), "start", "left_anti")
