@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from lodestone.llm import bpe, langid, lmscore, mixing, quality, secrets, simhash, suffixdedup, topk
+from lodestone.llm import bpe, langid, mixing, quality, secrets, simhash, suffixdedup, topk
 
 
 def test_suffix_array_is_sorted():
@@ -110,21 +110,6 @@ def test_language_ngrams():
     assert (langid.grams("Der, DER") == langid.grams("der der")).all()
 
 
-def test_automaton_is_a_distribution():
-    from collections import Counter
-
-    words = ["ab", "abc", "b"]
-    counts = Counter(g for w in words for g in lmscore.ngrams(w, 3))
-    ctx: dict = {}
-    for g, n in counts.items():
-        t, k = ctx.get(g[:-1], (0, 0))
-        ctx[g[:-1]] = (t + n, k + 1)
-    a = lmscore.Automaton(counts, ctx, 3)
-    assert a.spell("ab") > a.spell("ba") > a.spell("zz")
-    total = sum(10 ** a.spell("".join(w)) for n in range(0, 4) for w in __import__("itertools").product("abc", repeat=n))
-    assert 0.5 < total <= 1.0
-
-
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer

@@ -3,12 +3,11 @@
 import hashlib
 import math
 import random
-import zlib
 from collections import Counter
 
 import pytest
 
-from lodestone.llm import bpe, langid, linededup, lmscore, mixing, quality, secrets, simhash, suffixdedup, topk
+from lodestone.llm import bpe, langid, linededup, mixing, quality, secrets, simhash, suffixdedup, topk
 from lodestone.llm.common import components, cut
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rk string, kept string, row string"
@@ -173,25 +172,6 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_lm_scores(docs, empty):
-    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.select("doc_id", "text").collect()]
-    out = {d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}
-    c = Counter()
-    for d, w in rows:
-        if not out[d]:
-            c.update(w)
-            c[None] += 1
-    n, v = sum(c.values()), len(c)
-    want = {d: (out[d], len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in [*w, None])) for d, w in rows}
-    got = lmscore.score(docs, chunk=400).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        w = want[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and r.base_score == pytest.approx(w[4])
-        assert r.score <= 0 and math.isfinite(r.score) and r.open_score <= 0
-    assert lmscore.score(empty).count() == 0
-
-
 def test_language_id(spark, empty):
     en, de = "abcdmno", "efghpqr"
     texts = [words(40, i, (en, de)[i % 2]) for i in range(80)]
