@@ -18,14 +18,29 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system, in the JVM."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends here, and lost executors cost nothing.
 
-    An RDD checkpoint would compute df twice and write it uncompressed. The table goes when the driver ends.
+    An RDD checkpoint would compute df twice and write it uncompressed. The table goes by release(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, system = _at(spark, path)
+    system.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that cut() returned, once nothing will read them again."""
+    for table in tables:
+        where, system = _at(table.sparkSession, table._cut_at)
+        system.delete(where, True)
