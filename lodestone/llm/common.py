@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.storage import cut
+from lodestone.storage import cut, release
 
 #: Word characters are everything but these six; str.split() on bytes uses the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,25 +49,31 @@ def components(edges: DataFrame) -> DataFrame:
         far = cut(e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
         while True:
             jump = far.alias("s").join(far.alias("t"), F.col("s.to") == F.col("t.node"), "left")
-            jump = cut(jump.select("s.node", F.coalesce("t.to", "s.to").alias("to"), F.col("t.to").isNotNull().alias("moved")))
-            rests = jump.where("moved").isEmpty()
-            far = jump.drop("moved")
-            if rests:
+            next_ = cut(jump.select("s.node", F.coalesce("t.to", "s.to").alias("to"), F.col("t.to").isNotNull().alias("moved")))
+            release(far)
+            far = next_
+            if far.where("moved").isEmpty():
                 break
         maps.append(far)
-        left = e.join(far.withColumnsRenamed({"node": "a", "to": "ra"}), "a", "left")
-        both = left.join(far.withColumnsRenamed({"node": "b", "to": "rb"}), "b", "left")
+        left = e.join(far.select(F.col("node").alias("a"), F.col("to").alias("ra")), "a", "left")
+        both = left.join(far.select(F.col("node").alias("b"), F.col("to").alias("rb")), "b", "left")
         a, b = F.coalesce("ra", "a"), F.coalesce("rb", "b")
-        e = cut(both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
+        next_ = cut(both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
+        release(e)
+        e = next_
+    release(e)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     done = None
     for m in maps:
         part = m.select("node", F.col("to").alias("root"))
         if done is None:
-            done = part
+            done = cut(part)
         else:
             moved = done.join(part.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-            done = cut(moved.unionByName(part))
+            next_ = cut(moved.unionByName(part))
+            release(done)
+            done = next_
+        release(m)
     roots = done.select(F.col("root").alias("node"), "root").distinct()
     return done.unionByName(roots)
