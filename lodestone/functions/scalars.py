@@ -8,18 +8,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The variables of a route, the characters that a file name keeps without loss.
+ROUTE_VARIABLE = r"\{[^}]+\}|:[A-Za-z_][A-Za-z0-9_]*"
+LOSSY = r"[^a-zA-Z0-9_/.:]"
+
+
 def normalize_url(u: str | Column) -> Column:
-    """A route key: no query, no trailing non-segment variable, variables as <var>."""
+    """A route key: no query, no <var> at the end that is not a segment, variables as <var>."""
     c = F.split_part(F.col(u) if isinstance(u, str) else u, F.lit("?"), F.lit(1))
-    c = F.regexp_replace(c, r"([^/])<var>$", "$1")
-    return F.regexp_replace(F.regexp_replace(c, r"\{[^}/]*\}", "<var>"), r"/:[A-Za-z_][A-Za-z0-9_]*", "/<var>")
+    return F.regexp_replace(F.regexp_replace(c, r"(^|[^/])<var>$", "$1"), ROUTE_VARIABLE, "<var>")
 
 
 def slugify(i: str) -> Column:
-    """An id as a file name; a short digest is added where that loses something."""
+    """An id as a file name; a short digest is added where other characters than separators of paths are lost."""
     plain = F.regexp_replace(F.replace(F.col(i), F.lit("::"), F.lit("__")), r"[^\p{L}\p{N}_]", "_")
-    slug = F.regexp_replace(plain, "^_+|_+$", "")
-    return F.when(slug == F.replace(F.col(i), F.lit("::"), F.lit("__")), slug).otherwise(F.concat(slug, F.lit("_"), F.substring(F.sha1(F.col(i)), 1, 8)))
+    bare = F.regexp_replace(plain, "^_+|_+$", "")
+    digest = F.substring(F.sha1(F.col(i)), 1, 8)
+    return F.when(~F.col(i).rlike(LOSSY), bare).when(bare == "", digest).otherwise(F.concat(bare, F.lit("_"), digest))
 
 
 def first_segment(i: str) -> Column:
@@ -33,41 +38,66 @@ def last_segment(i: str) -> Column:
 def external_confidence(target: str) -> Column:
     """Confidence of an edge by the shape of its external target."""
     t = F.col(target)
+    body = F.substring(t, len("external::unresolved::") + 1, 1 << 30)
     return (
-        F.when(~t.startswith("external::"), "exact")
+        F.when(t.startswith("external::pypi::unknown") | t.startswith("external::npm::unknown"), "unresolved_internal")
         .when(t.startswith("external::dynamic::"), "dynamic")
-        .when(t.startswith("external::unresolved::"), F.when(F.instr(F.substring(t, 23, 1 << 30), "::") > 0, "unresolved_internal").otherwise("unresolved_receiver"))
-        .when(t.startswith("external::builtin::"), "builtin")
+        .when(t.startswith("external::unresolved::"), F.when(F.instr(body, "::") > 0, "unresolved_internal").otherwise("unresolved_receiver"))
         .otherwise("external")
     )
 
 
+#: What each wildcard of a glob stands for.
+WILDCARDS = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+
 def glob_regex(pattern: str) -> str:
-    """A gitignore-style glob as a regular expression: ** any depth, * and ? within a segment."""
-    out, i = "^", 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:[^/]+/)*", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif pattern[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif pattern[i] == "?":
-            out, i = out + "[^/]", i + 1
-        else:
-            out, i = out + re.escape(pattern[i]), i + 1
-    return out + "$"
+    """A glob on forward-slash paths as a regular expression: ** any depth, * and ? within a segment."""
+    part = lambda m: WILDCARDS.get(m.group()) or re.escape(m.group())
+    return "^" + re.sub(r"\*\*/|\*\*|\*|\?|[^*?]+", part, pattern.replace("\\", "/").lstrip("/")) + "$"
 
 
 def included(path: Column, include: list[str], exclude: list[str]) -> Column:
     """Whether a path matches any include (or there is none) and no exclude."""
-    some = lambda globs: F.lit(False) if not globs else path.rlike("|".join(glob_regex(g) for g in globs))
+    forward = F.replace(path, F.lit("\\"), F.lit("/"))
+    some = lambda globs: F.lit(False) if not globs else forward.rlike("|".join(glob_regex(g) for g in globs))
     return (some(include) if include else F.lit(True)) & ~some(exclude)
 
 
-def redact(line: Column) -> Column:
-    """A line with what looks like a secret's value replaced."""
-    return F.regexp_replace(line, r"(?i)((?:password|passwd|secret|token|api_?key)\s*[:=]\s*)\S+", "$1[REDACTED]")
+#: Lines that look like credentials (YAML_VALUE unless NO_VALUE), and the marker of a list or heading that stays.
+CREDENTIALS = (
+    r"(?i)password\s+`[^`]+`",
+    r"(?i)`[^`]+`\s*/\s*`[^`]+`.*\b(creds|credentials|login)\b",
+    r"(?i)://[^/\s:@]+:[^/\s@]+@",
+    r"(?i)(api[_-]?key|secret|token)\s*[:=]\s*['\"][^'\"]{8,}['\"]",
+    r"^-----BEGIN\s+(RSA|OPENSSH|EC|DSA|PRIVATE)",
+    r"AKIA[0-9A-Z]{16}",
+)
+YAML_VALUE, NO_VALUE = r"(?i)^\s*password:\s*\S", r"(?i)^\s*password:\s*(REDACTED|null|unset)"
+MARKER = r"^(\s*[-*]\s+(\*\*[^*]+\*\*\s*[:.]?\s*)?|\s*#+\s+)"
+
+
+def is_credential(line: Column) -> Column:
+    """Whether a line looks as if it told a credential."""
+    found = line.rlike(YAML_VALUE) & ~line.rlike(NO_VALUE)
+    for pattern in CREDENTIALS:
+        found = found | line.rlike(pattern)
+    return found
+
+
+def redact(line: Column, path: Column, number: Column) -> Column:
+    """A line, or where it looks like a credential its leading marker and a pointer to the place."""
+    pointer = F.concat(F.regexp_extract(line, MARKER, 0), F.lit("REDACTED — see canonical memory at `"), path, F.lit("` (line "), number.cast("string"), F.lit(")"))
+    return F.when(is_credential(line), pointer).otherwise(line)
+
+
+#: The first words of subjects that tell of a fix or a revert; commits that make a file churn.
+FIX_WORDS, REVERT_WORDS, CHURN = ("fix", "fixes", "fixed"), ("revert",), 10
+
+
+def says(subject: Column, words: tuple[str, ...]) -> Column:
+    """Whether a subject begins with one of the words, as a plain word or a conventional type."""
+    return F.lower(F.trim(subject)).rlike(f"^({'|'.join(words)})[:( ]")
 
 
 def commit_action(subject: Column) -> Column:

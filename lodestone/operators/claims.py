@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tiers by in-degree, drift by absolute and relative change.
-TIER_A, TIER_B, DRIFT_ABS, DRIFT_PCT = 10, 3, 3, 25.0
+#: In-degrees of the tiers, changes that count as drift (edges; part of the pinned count).
+TIER_A, TIER_B, DRIFT_ABS, DRIFT_PCT = 10, 3, 3, 0.25
 
 
 def claim_state(claims: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -25,11 +26,11 @@ def tiers(nodes: DataFrame, edges: DataFrame, skip: tuple[str, ...] = ()) -> Dat
 
 
 def drift(pairs: DataFrame) -> DataFrame:
-    """pairs (pinned, current) with delta, pct (against pinned, 1 at least) and drifts."""
+    """pairs (pinned, current) with delta, pct (a fraction of pinned, 1 at least, to 4 digits) and drifts."""
     delta = F.col("current") - F.col("pinned")
-    pct = F.bround(100.0 * F.abs(delta) / F.greatest("pinned", F.lit(1)), 6)
-    out = pairs.withColumns({"delta": delta, "pct": pct})
-    return out.withColumn("drifts", (F.col("delta") != 0) & ((F.abs("delta") >= DRIFT_ABS) | (F.col("pct") >= DRIFT_PCT)))
+    part = F.abs(delta).cast("double") / F.greatest("pinned", F.lit(1))
+    far = (F.abs(delta) >= DRIFT_ABS) | (part >= DRIFT_PCT)
+    return pairs.withColumns({"delta": delta, "pct": F.bround(part, 4), "drifts": (delta != 0) & far})
 
 
 def mechanisms(text: str) -> F.Column:

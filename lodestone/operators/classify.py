@@ -26,12 +26,19 @@ def verdicts(nodes: DataFrame, rules: list[tuple[str, DataFrame | Column]]) -> D
     return out
 
 
-def dossier_state(exists: Column, drafted: Column, pinned: Column, current: Column, missing_pin_is_stale: bool = False) -> Column:
-    """missing, llm_drafted, stale or fresh."""
-    stale = (pinned.isNull() if missing_pin_is_stale else F.lit(False)) | F.coalesce(pinned != current, F.lit(False))
-    return F.when(~exists, "missing").when(drafted, "llm_drafted").when(stale, "stale").otherwise("fresh")
+#: Days since the last push up to which a repository is active, and from which it may be dead.
+ACTIVE_DAYS, DEAD_DAYS = 7, 180
 
 
-def activity(commits_30d: Column, nodes: Column, dead_share: Column) -> Column:
-    """Class of a repository by its recent commits, size and share of dead code."""
-    return F.when(nodes == 0, "empty").when(commits_30d.isNull(), "unknown").when(commits_30d > 0, "active").when(dead_share > 0.5, "dead-candidate").otherwise("dormant")
+def dossier_state(exists: Column, status: Column, pinned: Column, current: Column) -> Column:
+    """missing, stale, unreviewed, llm_drafted or current; a dossier without a pin is never stale."""
+    stale = F.coalesce((pinned != "") & ~pinned.eqNullSafe(current), F.lit(False))
+    return (
+        F.when(~exists, "missing").when(stale, "stale").when(status == "unreviewed", "unreviewed").when(status.isin("llm_drafted", "stub"), "llm_drafted").otherwise("current")
+    )
+
+
+def activity(age_days: Column, nodes: Column, inbound_edges: Column) -> Column:
+    """Class of a repository by the age of its last push, its size and whether anything depends on it."""
+    dead = (age_days >= DEAD_DAYS) & (inbound_edges == 0)
+    return F.when(nodes == 0, "empty").when(age_days.isNull(), "unknown").when(age_days <= ACTIVE_DAYS, "active").when(dead, "dead-candidate").otherwise("dormant")

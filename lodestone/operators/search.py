@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Constants of BM25, weights of the blend, sizes of chunks.
 K1, B, W_LEXICAL, W_VECTOR = 1.5, 0.75, 0.4, 0.6
 CHUNK, OVERLAP = 1800, 400
 
@@ -58,19 +59,14 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, key: str, k: int) -> DataFra
 
 
 def chunk(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """Overlapping windows that end at a paragraph, or else a sentence, in their second half if there is one."""
+    """Overlapping windows that end after a paragraph's break, or else a sentence's period, if either stands in their second half."""
     out, at, n = [], 0, len(text)
     while at < n:
         end = min(at + size, n)
         if end < n:
-            for mark in ("\n\n", ". "):
-                cut = text.rfind(mark, at, end)
-                if cut > at + size // 2:
-                    end = cut + len(mark)
-                    break
-        piece = text[at:end].strip()
-        if piece:
-            out.append(piece)
+            breaks = ((text.rfind(mark, at, end), before, after) for mark, before, after in (("\n\n", 0, 2), (". ", 1, 1)))
+            end = next((p + after for p, before, after in breaks if p >= 0 and p + before - at >= size // 2), end)
+        out.append(text[at:end])
         if end >= n:
             break
         at = max(end - overlap, at + 1)

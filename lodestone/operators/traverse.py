@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.storage import cut
+from lodestone.storage import cut, release
 
 
 def walk(seeds: DataFrame, edges: DataFrame, depth: int, reverse: bool = True) -> DataFrame:
@@ -18,7 +18,7 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int, reverse: bool = True) -
     Among equally short paths the least one (as text) is kept, so results do not depend on the order of rows.
     """
     at, to = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(at).alias("at"), F.col(to).alias("to")).distinct()
+    step = cut(edges.select(F.col(at).alias("at"), F.col(to).alias("to")).distinct())  # read once, not at every hop
     seen = seeds.select(F.col("id").alias("node"), F.lit(0).alias("depth"), F.col("id").alias("path")).distinct()
     front = seen
     for k in range(1, depth + 1):
@@ -37,24 +37,25 @@ def closure(seeds: DataFrame, edges: DataFrame, barrier: DataFrame | None = None
     if barrier is not None:
         step = step.join(barrier.select(F.col("id").alias("dst")), "dst", "left_anti")
     step = cut(step)
-    seen = cut(seeds.select(F.col("id").alias("node")).distinct())
-    front = seen
+    front = cut(seeds.select(F.col("id").alias("node")).distinct())
+    seen = front  # a union of the fronts, each written once
     while True:
         new = front.join(step, front.node == step.src).select(F.col("dst").alias("node")).distinct()
         front = cut(new.join(seen, "node", "left_anti"))
         if front.isEmpty():
+            release(front, step)
             return seen
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
 
 
 def reach(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """start, node, depth: for every seed its forward reach, with the first depth."""
-    step = edges.select("src", "dst").distinct()
+    step = cut(edges.select("src", "dst").distinct())
     seen = seeds.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct()
     front = seen
     for k in range(1, depth + 1):
         new = front.join(step, front.node == step.src).select("start", F.col("dst").alias("node")).distinct()
-        front = new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(k))
+        front = cut(new.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(front)
     return seen
 

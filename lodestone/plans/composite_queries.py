@@ -14,10 +14,20 @@ from .registry import query, shared
 
 # --- validators -------------------------------------------------------------------------------------------
 
-shared("primitive_violations", "SELECT id, 'name' AS field FROM {nodes} WHERE name IS NULL OR name = '' UNION ALL SELECT id, 'hash' FROM {nodes} WHERE length(hash) <> 32 UNION ALL SELECT id, 'kind' FROM {nodes} WHERE kind NOT IN ('region', 'nation', 'customer', 'supplier', 'part') UNION ALL SELECT src, 'confidence' FROM {edges} WHERE confidence NOT IN ('exact', 'fuzzy')")
+shared(
+    "primitive_violations",
+    "SELECT id, 'missing fields' AS what FROM {nodes} WHERE id IS NULL OR kind IS NULL OR name IS NULL OR hash IS NULL OR repo IS NULL"
+    " UNION ALL SELECT id, 'primitive' FROM {nodes} WHERE kind NOT IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders')"
+    " UNION ALL SELECT id, 'owner' FROM {nodes} WHERE kind = 'part' AND name LIKE '%.%' AND repo = ''"
+    " UNION ALL SELECT src, 'confidence' FROM {edges} WHERE confidence NOT IN ('exact', 'fuzzy', 'external', 'unresolved_internal', 'unresolved_receiver', 'dynamic')",
+)
 shared("corpus_report", "SELECT 'duplicate' AS what, count(*) AS n FROM (SELECT id FROM {nodes} GROUP BY id HAVING count(*) > 1) d UNION ALL SELECT 'dangling', count(*) FROM {edges} e LEFT JOIN {nodes} n ON n.id = e.dst WHERE n.id IS NULL UNION ALL SELECT 'orphan_claim', count(*) FROM {claims} c LEFT JOIN {nodes} n ON n.id = c.target WHERE n.id IS NULL UNION ALL SELECT 'nodes', count(*) FROM {nodes} UNION ALL SELECT 'edges', count(*) FROM {edges}")
 shared("step_transition_ri", "SELECT c.conv_id, c.turn, c.turn + 1 AS to_turn FROM {conversations} c LEFT JOIN {conversations} n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1 WHERE n.turn IS NULL")
-shared("required_sections", "SELECT doc_id, CASE WHEN text LIKE '%License%' THEN 'present' ELSE 'missing' END AS license, CASE WHEN length(text) - length(replace(text, chr(10), '')) >= 3 THEN 'present' ELSE 'missing' END AS body FROM {documents}")
+shared(
+    "required_sections",
+    "SELECT doc_id, section FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || chr(10) || '## Plain definition' WHEN doc_id % 4 = 1 THEN text || chr(10) || '## They can' ELSE text END AS text FROM {documents}) d"
+    " CROSS JOIN (SELECT '## Plain definition' AS section UNION ALL SELECT '## They can') s WHERE NOT contains(d.text, s.section)",
+)
 
 # --- composite reads --------------------------------------------------------------------------------------
 

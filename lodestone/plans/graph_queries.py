@@ -104,7 +104,8 @@ def inheritance_chain(spark: SparkSession, d: str) -> DataFrame:
     """TRV-08: nodes whose chain of bases ends in ASIA."""
     base = G.nodes(spark, d).where("kind = 'region' AND name = 'ASIA'").select("id")
     up = G.edges(spark, d).where(F.col("kind").isin("extends", "references"))
-    return T.walk(base, up, 3).where("depth > 0").select(F.col("node").alias("start"))
+    down = up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return T.closure(base, down).join(base.withColumnRenamed("id", "node"), "node", "left_anti").select(F.col("node").alias("start"))
 
 
 # --- joins ------------------------------------------------------------------------------------------------
@@ -204,7 +205,10 @@ def slug_collision(spark: SparkSession, d: str) -> DataFrame:
     return C.collisions(G.nodes(spark, d).select("id", F.regexp_replace(F.lower("name"), "[^a-z]+", "_").alias("slug")), "slug", "id")
 
 
-@query("SELECT p_partkey AS id, pinned, current, current - pinned AS delta, round_even(100.0 * abs(current - pinned)::DOUBLE / greatest(pinned, 1), 6) AS pct, (current <> pinned AND (abs(current - pinned) >= 3 OR round_even(100.0 * abs(current - pinned)::DOUBLE / greatest(pinned, 1), 6) >= 25)) AS drifts FROM (SELECT p_partkey, p_size AS pinned, count(l_orderkey)::INTEGER AS current FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_size) x")
+@query(
+    "SELECT id, pinned, current, current - pinned AS delta, round_even(part, 4) AS pct, (current <> pinned AND (abs(current - pinned) >= 3 OR part >= 0.25)) AS drifts FROM"
+    " (SELECT *, abs(current - pinned)::DOUBLE / greatest(pinned, 1) AS part FROM (SELECT p_partkey AS id, p_size AS pinned, count(l_orderkey)::INTEGER AS current FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_size) x) y"
+)
 def inbound_drift(spark: SparkSession, d: str) -> DataFrame:
     """AGG-24: change of in-degree against a pinned count."""
     n = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
@@ -259,21 +263,33 @@ def classify_with_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return K.classify(K.verdicts(part, rules))
 
 
-@query("SELECT c_custkey AS id, CASE WHEN o.n IS NULL THEN 'missing' WHEN c_mktsegment = 'BUILDING' THEN 'llm_drafted' WHEN c_acctbal < 0 THEN 'stale' ELSE 'fresh' END AS state FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")
+@query(
+    "SELECT c_custkey AS id, CASE WHEN o.n IS NULL THEN 'missing' WHEN c_acctbal < 0 THEN 'stale' WHEN c_mktsegment = 'MACHINERY' THEN 'unreviewed' WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'llm_drafted' ELSE 'current' END AS state"
+    " FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey"
+)
 def dossier_state(spark: SparkSession, d: str) -> DataFrame:
     """CLS-11: the state machine of a dossier."""
     n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    pinned = F.when(F.col("c_acctbal") < 0, "old").otherwise("new")
-    return table(spark, d, "customer").join(n, "c_custkey", "left").select(F.col("c_custkey").alias("id"), K.dossier_state(F.col("n").isNotNull(), F.col("c_mktsegment") == "BUILDING", pinned, F.lit("new")).alias("state"))
-
-
-@query(", " + TIERED + ", r AS (SELECT repo, count(*) AS n, sum(CASE WHEN inbound_count = 0 THEN 1 ELSE 0 END)::DOUBLE / count(*) AS dead FROM tiered GROUP BY repo), k AS (SELECT r_name AS repo, count(*) AS commits FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name) SELECT r.repo, CASE WHEN r.n = 0 THEN 'empty' WHEN k.commits IS NULL THEN 'unknown' WHEN k.commits > 0 THEN 'active' WHEN r.dead > 0.5 THEN 'dead-candidate' ELSE 'dormant' END AS activity FROM r LEFT JOIN k ON k.repo = r.repo")
+    pinned = F.when(F.col("c_acctbal") < 0, "old").when(F.col("c_acctbal") < 1000, "").otherwise("new")
+    segment = F.col("c_mktsegment")
+    status = F.when(segment == "MACHINERY", "unreviewed").when(segment == "BUILDING", "llm_drafted").when(segment == "FURNITURE", "stub")
+    state = K.dossier_state(F.col("n").isNotNull(), status, pinned, F.lit("new"))
+    return table(spark, d, "customer").join(n, "c_custkey", "left").select(F.col("c_custkey").alias("id"), state.alias("state"))
+
+
+@query(
+    "SELECT n.repo, CASE WHEN count(*) = 0 THEN 'empty' WHEN any_value(k.age) IS NULL THEN 'unknown' WHEN any_value(k.age) <= 7 THEN 'active' WHEN any_value(k.age) >= 180 AND sum(coalesce(e.c, 0)) = 0 THEN 'dead-candidate' ELSE 'dormant' END AS activity"
+    " FROM (SELECT id, split_part(id, '::', 2) AS repo, kind FROM nodes WHERE kind = 'customer') n LEFT JOIN (SELECT dst, count(*) AS c FROM edges GROUP BY dst) e ON e.dst = n.id"
+    " LEFT JOIN (SELECT o_custkey::VARCHAR AS repo, datediff('day', CAST(max(o_orderdate) AS DATE), DATE '1998-08-05') AS age FROM orders GROUP BY o_custkey) k ON k.repo = n.repo GROUP BY n.repo"
+)
 def repo_activity_class(spark: SparkSession, d: str) -> DataFrame:
-    """CLS-12: activity class of each repository."""
-    n = G.nodes(spark, d)
-    r = C.tiers(n, G.edges(spark, d)).groupBy("repo").agg(F.count("*").alias("n"), F.avg((F.col("inbound_count") == 0).cast("double")).alias("dead"))
-    k = n.where("kind = 'orders'").groupBy("repo").agg(F.count("*").alias("commits"))
-    return r.join(k, "repo", "left").select("repo", K.activity(F.col("commits"), F.col("n"), F.col("dead")).alias("activity"))
+    """CLS-12: activity class of each repository (customers stand in, their latest order for the last push)."""
+    n = G.nodes(spark, d).where("kind = 'customer'").select("id", F.split_part("id", F.lit("::"), F.lit(2)).alias("repo"))
+    e = G.edges(spark, d).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("c"))
+    age = F.datediff(F.lit("1998-08-05").cast("date"), F.max("o_orderdate").cast("date"))
+    k = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("repo")).agg(age.alias("age"))
+    r = n.join(e, "id", "left").groupBy("repo").agg(F.count("*").alias("n"), F.sum(F.coalesce("c", F.lit(0))).alias("inbound"))
+    return r.join(k, "repo", "left").select("repo", K.activity(F.col("age"), F.col("n"), F.col("inbound")).alias("activity"))
 
 
 shared("caveat_histogram", "SELECT caveat, count(*) AS n FROM (SELECT DISTINCT dst AS id, 'external_target' AS caveat FROM {edges} WHERE confidence = 'external' UNION ALL SELECT DISTINCT dst, 'fuzzy_target' FROM {edges} WHERE confidence = 'fuzzy' UNION ALL SELECT id, 'unclaimed' FROM {nodes} WHERE id NOT IN (SELECT target FROM {claims})) x GROUP BY caveat")

@@ -19,8 +19,17 @@ QUERY = "the onti of the error"
 # --- telemetry --------------------------------------------------------------------------------------------
 
 shared("telemetry_stats", f"SELECT node_id, sum(CASE kind WHEN 'injection' THEN 1 ELSE 0 END) AS injections, sum(CASE kind WHEN 'acknowledgment' THEN 1 ELSE 0 END) AS acks, CASE WHEN sum(CASE kind WHEN 'injection' THEN 1 ELSE 0 END) = 0 THEN NULL ELSE bround(sum(CASE kind WHEN 'acknowledgment' THEN 1 ELSE 0 END) * 1.0E0 / sum(CASE kind WHEN 'injection' THEN 1 ELSE 0 END), 6) END AS ack_rate, max(CASE kind WHEN 'injection' THEN ts END) AS last_fired FROM {{telemetry}} WHERE ts >= {NOW} - INTERVAL '30' DAY GROUP BY node_id")
-shared("telemetry_30d", f"SELECT kind, sum(CASE WHEN ts >= {NOW} - INTERVAL '14' DAY THEN 1 ELSE 0 END) AS recent, sum(CASE WHEN ts < {NOW} - INTERVAL '14' DAY THEN 1 ELSE 0 END) AS before_that, bround(100.0E0 * (sum(CASE WHEN ts >= {NOW} - INTERVAL '14' DAY THEN 1 ELSE 0 END) - sum(CASE WHEN ts < {NOW} - INTERVAL '14' DAY THEN 1 ELSE 0 END)) / greatest(1, sum(CASE WHEN ts < {NOW} - INTERVAL '14' DAY THEN 1 ELSE 0 END)), 6) AS trend_pct FROM {{telemetry}} WHERE ts >= {NOW} - INTERVAL '28' DAY GROUP BY kind")
-shared("top_low_ack", "SELECT node_id, injections, acks FROM (SELECT node_id, sum(CASE kind WHEN 'injection' THEN 1 ELSE 0 END) AS injections, sum(CASE kind WHEN 'acknowledgment' THEN 1 ELSE 0 END) AS acks FROM {telemetry} GROUP BY node_id) x WHERE injections >= 3 AND acks * 1.0E0 / injections < 0.9E0")
+shared(
+    "telemetry_30d",
+    f"SELECT kind, recent, before_that, CASE WHEN before_that = 0 THEN 0.0E0 ELSE bround(100.0E0 * (recent - before_that) / before_that, 0) END AS trend_pct FROM"
+    f" (SELECT kind, sum(CASE WHEN ts >= {NOW} - INTERVAL '30' DAY THEN 1 ELSE 0 END) AS recent, sum(CASE WHEN ts < {NOW} - INTERVAL '30' DAY THEN 1 ELSE 0 END) AS before_that"
+    f" FROM {{telemetry}} WHERE ts >= {NOW} - INTERVAL '60' DAY GROUP BY kind) x",
+)
+shared(
+    "top_low_ack",
+    "SELECT node_id, injections, acks FROM (SELECT node_id, sum(CASE kind WHEN 'injection' THEN 1 ELSE 0 END) AS injections, sum(CASE kind WHEN 'acknowledgment' THEN 1 ELSE 0 END) AS acks"
+    " FROM {telemetry} GROUP BY node_id) x WHERE injections >= 3 AND acks * 1.0E0 / injections < 0.3E0 ORDER BY injections DESC, node_id LIMIT 10",
+)
 shared("never_acknowledged", "SELECT DISTINCT node_id FROM {telemetry} t WHERE kind = 'injection' AND NOT EXISTS (SELECT 1 FROM {telemetry} a WHERE a.kind = 'acknowledgment' AND a.node_id = t.node_id AND a.ts >= TIMESTAMP '2024-01-15 00:00:00')")
 shared("daily_spark", "SELECT kind, date_trunc('day', ts) AS day, count(*) AS n FROM {telemetry} GROUP BY kind, date_trunc('day', ts)")
 shared("activity_buckets", f"SELECT node_id, sum(CASE WHEN ts >= {NOW} - INTERVAL '1' DAY THEN 1 ELSE 0 END) AS today, sum(CASE WHEN ts >= {NOW} - INTERVAL '7' DAY THEN 1 ELSE 0 END) AS week, count(*) AS total FROM {{telemetry}} GROUP BY node_id")
@@ -59,13 +68,16 @@ def scan_events_json_props(spark: SparkSession, d: str) -> DataFrame:
 # --- scalars ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(split_part(url, '?', 1), '([^/])<var>$', '\\1'), '\\{[^}/]*\\}', '<var>', 'g'), '/:[A-Za-z_][A-Za-z0-9_]*', '/<var>', 'g') AS route FROM pages")
+@query(r"SELECT page_id, regexp_replace(regexp_replace(split_part(url, '?', 1), '(^|[^/])<var>$', '\1'), '\{[^}]+\}|:[A-Za-z_][A-Za-z0-9_]*', '<var>', 'g') AS route FROM pages")
 def normalize_url(spark: SparkSession, d: str) -> DataFrame:
     """STR-01."""
     return table(spark, d, "pages").select("page_id", S.normalize_url("url").alias("route"))
 
 
-@query("SELECT id, CASE WHEN s = replace(id, '::', '__') THEN s ELSE s || '_' || substr(sha1(id), 1, 8) END AS slug FROM (SELECT id, trim(regexp_replace(replace(id, '::', '__'), '[^\\p{L}\\p{N}_]', '_', 'g'), '_') AS s FROM (SELECT url AS id FROM pages) a) b")
+@query(
+    r"SELECT id, CASE WHEN NOT regexp_matches(id, '[^a-zA-Z0-9_/.:]') THEN s WHEN s = '' THEN h ELSE s || '_' || h END AS slug FROM"
+    r" (SELECT id, substr(sha1(id), 1, 8) AS h, trim(regexp_replace(replace(id, '::', '__'), '[^\p{L}\p{N}_]', '_', 'g'), '_') AS s FROM (SELECT url AS id FROM pages) a) b"
+)
 def slugify(spark: SparkSession, d: str) -> DataFrame:
     """STR-02."""
     return table(spark, d, "pages").select(F.col("url").alias("id"), S.slugify("url").alias("slug"))
@@ -87,10 +99,19 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", search.content_hash("text").alias("content_hash"), search.preview("text").alias("preview"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '(?i)((?:password|passwd|secret|token|api_?key)\\s*[:=]\\s*)\\S+', '\\1[REDACTED]', 'g') AS safe FROM documents")
+_LINE_TELLS = " OR ".join([f"(regexp_matches(l, '{S.YAML_VALUE}') AND NOT regexp_matches(l, '{S.NO_VALUE}'))", *("regexp_matches(l, '" + p.replace("'", "''") + "')" for p in S.CREDENTIALS)])
+
+
+@query(
+    "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: "
+    f"CASE WHEN {_LINE_TELLS} THEN regexp_extract(l, '{S.MARKER}', 0) || 'REDACTED — see canonical memory at `doc/' || doc_id || '` (line ' || i || ')' ELSE l END), chr(10)) AS safe FROM documents"
+)
 def redact_lines(spark: SparkSession, d: str) -> DataFrame:
-    """FLT-19."""
-    return table(spark, d, "documents").select("doc_id", S.redact(F.col("text")).alias("safe"))
+    """FLT-19: texts, each line that looks like a credential replaced by a pointer."""
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    safe = F.transform(F.split("text", "\n"), lambda x, i: S.redact(x, path, i + 1))
+    return docs.select("doc_id", F.array_join(safe, "\n").alias("safe"))
 
 
 @query("SELECT page_id FROM pages WHERE regexp_matches(split_part(url, '://', 2), '^[^/]*/[^/]*/.*$')")
@@ -100,17 +121,43 @@ def glob_filter_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where(S.included(path, ["*/*/**"], [])).select("page_id")
 
 
-@query("SELECT target, CASE WHEN NOT starts_with(target, 'external::') THEN 'exact' WHEN starts_with(target, 'external::dynamic::') THEN 'dynamic' WHEN starts_with(target, 'external::unresolved::') THEN CASE WHEN instr(substr(target, 23), '::') > 0 THEN 'unresolved_internal' ELSE 'unresolved_receiver' END WHEN starts_with(target, 'external::builtin::') THEN 'builtin' ELSE 'external' END AS confidence FROM (SELECT CASE p_size % 6 WHEN 0 THEN p_name WHEN 1 THEN 'external::pypi::' || p_type || '::x' WHEN 2 THEN 'external::dynamic::call::' || p_partkey WHEN 3 THEN 'external::unresolved::a::b' || p_partkey WHEN 4 THEN 'external::unresolved::recv' || p_partkey ELSE 'external::builtin::' || p_type END AS target FROM part) x")
+@query(
+    "SELECT target, CASE WHEN starts_with(target, 'external::pypi::unknown') OR starts_with(target, 'external::npm::unknown') THEN 'unresolved_internal' WHEN starts_with(target, 'external::dynamic::') THEN 'dynamic'"
+    " WHEN starts_with(target, 'external::unresolved::') THEN CASE WHEN instr(substr(target, 23), '::') > 0 THEN 'unresolved_internal' ELSE 'unresolved_receiver' END ELSE 'external' END AS confidence"
+    " FROM (SELECT CASE p_size % 6 WHEN 0 THEN p_name WHEN 1 THEN 'external::pypi::' || p_type || '::x' WHEN 2 THEN 'external::dynamic::call::' || p_partkey"
+    " WHEN 3 THEN 'external::unresolved::a::b' || p_partkey WHEN 4 THEN 'external::unresolved::recv' || p_partkey ELSE 'external::npm::unknown::' || p_type END AS target FROM part) x"
+)
 def confidence_buckets(spark: SparkSession, d: str) -> DataFrame:
     """FLT-10 to FLT-12."""
     k, c = F.col("p_size") % 6, F.concat
     key = F.col("p_partkey").cast("string")
-    target = F.when(k == 0, F.col("p_name")).when(k == 1, c(F.lit("external::pypi::"), "p_type", F.lit("::x"))).when(k == 2, c(F.lit("external::dynamic::call::"), key)).when(k == 3, c(F.lit("external::unresolved::a::b"), key)).when(k == 4, c(F.lit("external::unresolved::recv"), key)).otherwise(c(F.lit("external::builtin::"), "p_type"))
+    target = (
+        F.when(k == 0, F.col("p_name"))
+        .when(k == 1, c(F.lit("external::pypi::"), "p_type", F.lit("::x")))
+        .when(k == 2, c(F.lit("external::dynamic::call::"), key))
+        .when(k == 3, c(F.lit("external::unresolved::a::b"), key))
+        .when(k == 4, c(F.lit("external::unresolved::recv"), key))
+        .otherwise(c(F.lit("external::npm::unknown::"), "p_type"))
+    )
     return table(spark, d, "part").select(target.alias("target")).select("target", S.external_confidence("target").alias("confidence"))
 
 
 shared("day_bucket", f"SELECT event_id, date_trunc('day', ts) AS day, datediff(DATE '2024-01-31', CAST(ts AS DATE)) AS age FROM {{events}}", f"SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, datediff('day', CAST(ts AS DATE), DATE '2024-01-31')::INTEGER AS age FROM {{events}}")
-shared("keyword_signals", "SELECT conv_id, turn, lower(text) LIKE '%the%' AS has_the, length(text) AS n_chars, substr(text, 1, 50) AS title FROM {conversations} WHERE role = 'assistant'")
+@query(
+    "SELECT conv_id, bool_or(regexp_matches(lower(trim(s)), '^(fix|fixes|fixed)[:( ]')) AS recent_fix, bool_or(regexp_matches(lower(trim(s)), '^(revert)[:( ]')) AS recent_revert, count(*) >= 10 AS high_churn, count(*) AS commits_in_window"
+    " FROM (SELECT conv_id, CASE (conv_id + turn) % 5 WHEN 0 THEN 'Fix(core): ' WHEN 1 THEN 'revert ' WHEN 2 THEN 'prefix ' ELSE '' END || text AS s FROM conversations) x GROUP BY conv_id"
+)
+def keyword_signals(spark: SparkSession, d: str) -> DataFrame:
+    """STR-13, STR-17: what the subjects of a history tell (turns stand in for commits, conversations for files)."""
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    s = F.concat(F.when(k == 0, "Fix(core): ").when(k == 1, "revert ").when(k == 2, "prefix ").otherwise(""), F.col("text"))
+    said = table(spark, d, "conversations").select("conv_id", s.alias("s")).groupBy("conv_id")
+    return said.agg(
+        F.bool_or(S.says(F.col("s"), S.FIX_WORDS)).alias("recent_fix"),
+        F.bool_or(S.says(F.col("s"), S.REVERT_WORDS)).alias("recent_revert"),
+        (F.count("*") >= S.CHURN).alias("high_churn"),
+        F.count("*").alias("commits_in_window"),
+    )
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_extract(s, '^(feat|fix|review|flag|unflag|chore|docs|refactor)(?:\\([^)]*\\))?:\\s*', 1) = '' THEN 'edit' ELSE regexp_extract(s, '^(feat|fix|review|flag|unflag|chore|docs|refactor)(?:\\([^)]*\\))?:\\s*', 1) END AS action FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'fix(core): ' WHEN 1 THEN 'docs: ' ELSE '' END || text AS s FROM conversations) x")
@@ -123,15 +170,24 @@ def commit_actions(spark: SparkSession, d: str) -> DataFrame:
 
 # --- joins on text ----------------------------------------------------------------------------------------
 
-ROUTE = "regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '[0-9]+', '<var>', 'g')"
+_METHOD = "CASE page_id % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'GET' ELSE 'POST' END"
+_ROUTE_SQL = r"regexp_replace(regexp_replace(split_part(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[0-9]+', ':id', 'g'), '?', 1), '(^|[^/])<var>$', '\1'), '\{[^}]+\}|:[A-Za-z_][A-Za-z0-9_]*', '<var>', 'g')"
 
 
-@query(f"SELECT a.page_id AS call_id, b.page_id AS endpoint_id FROM (SELECT page_id, {ROUTE} AS route FROM pages WHERE page_id % 2 = 0) a JOIN (SELECT {ROUTE} AS route, min(page_id) AS page_id FROM pages WHERE page_id % 2 = 1 GROUP BY 1) b ON a.route = b.route")
+@query(
+    f"SELECT a.page_id AS call_id, b.page_id AS endpoint_id FROM (SELECT page_id, upper({_METHOD}) AS method, {_ROUTE_SQL} AS route FROM pages WHERE page_id % 2 = 0) a"
+    f" JOIN (SELECT page_id, upper({_METHOD}) AS method, {_ROUTE_SQL} AS route FROM pages WHERE page_id % 2 = 1) b ON a.method = b.method AND a.route = b.route WHERE a.route <> '' AND b.page_id <> a.page_id + 1"
+)
 def route_call_join(spark: SparkSession, d: str) -> DataFrame:
-    """JON-02: calls (even pages) and endpoints (odd pages) by normalised route."""
-    p = table(spark, d, "pages").select("page_id", F.regexp_replace(F.split_part(F.split_part("url", F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "[0-9]+", "<var>").alias("route"))
-    ends = p.where("page_id % 2 = 1").groupBy("route").agg(F.min("page_id").alias("endpoint_id"))
-    return p.where("page_id % 2 = 0").withColumnRenamed("page_id", "call_id").join(ends, "route").select("call_id", "endpoint_id")
+    """JON-02: calls (even pages) and endpoints (odd pages) by method and normalised route, but for edges that exist (to the next page)."""
+    k = F.col("page_id") % 3
+    method = F.when(k == 0, "get").when(k == 1, "GET").otherwise("POST")
+    raw = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[0-9]+", ":id")
+    p = table(spark, d, "pages").select("page_id", F.upper(method).alias("method"), S.normalize_url(raw).alias("route"))
+    calls = p.where("page_id % 2 = 0 and route <> ''").withColumnRenamed("page_id", "call_id")
+    ends = p.where("page_id % 2 = 1").withColumnRenamed("page_id", "endpoint_id")
+    known = calls.select("call_id", (F.col("call_id") + 1).alias("endpoint_id"))
+    return calls.join(ends, ["method", "route"]).select("call_id", "endpoint_id").join(known, ["call_id", "endpoint_id"], "left_anti")
 
 
 shared("prefix_owner_theta", "SELECT n.id, r.r_name AS root FROM {nodes} n JOIN {region} r ON n.repo LIKE r.r_name || '%' WHERE n.kind = 'customer'")

@@ -1,5 +1,6 @@
 """Small graphs, goldens and round trips for the graph library."""
 
+import hashlib
 import json
 import random
 
@@ -76,20 +77,47 @@ def test_scalars(spark):
     assert val(S.section(F.lit("## A\none\n## B\ntwo"), "A")) == "one\n"
     assert val(S.frontmatter(F.lit("---\na: 1\n---\nbody"))) == {"a": " 1"}
     assert val(S.unquote(F.lit("'x'"))) == "x"
-    assert "hunter2" not in val(S.redact(F.lit("password: hunter2")))
+    assert "hunter2" not in val(S.redact(F.lit("password: hunter2"), F.lit("m"), F.lit(1)))
 
 
-@pytest.mark.parametrize(("glob", "path", "hit"), [("**/*.py", "a/b.py", True), ("**/*.py", "b.py", True), ("*.py", "a/b.py", False), ("src/**", "src/a/b", True), ("a?c", "abc", True), ("a?c", "a/c", False)])
+@pytest.mark.parametrize(("glob", "path", "hit"), [("**/*.py", "a/b.py", True), ("**/*.py", "b.py", True), ("*.py", "a/b.py", False), ("src/**", "src/a/b", True), ("a?c", "abc", True), ("a?c", "a/c", False), ("/src/*.py", "src/a.py", True), ("src\\*.py", "src/a.py", True), ("a/**/b", "a//b", True)])
 def test_globs(glob, path, hit):
     import re
 
     assert bool(re.match(S.glob_regex(glob), path)) is hit
 
 
-def test_irreversible_commands():
-    assert commands.findings("rm -rf /tmp/x && git push --force") == ["rm_recursive", "force_push"]
-    assert commands.findings("echo 'rm -rf /'") == [] and commands.findings(None) == [] and commands.findings("echo 'open") == []
-    assert commands.findings("sudo psql -c 'DROP TABLE x'; git reset --hard") == ["drop_data", "hard_reset"]
+RM, PUSH, SUDO = "rm with -r/-f flags", "git push (real, not dry-run)", "sudo (privileged execution)"
+
+
+@pytest.mark.parametrize(("command", "want"), [
+    ("rm -rf /tmp/x && git push --force", [RM, PUSH]), ("rm a; rm --force b", [RM]), ("echo 'rm -rf /'", []), (None, []), ("echo 'open", []),
+    ("sudo -u me rm -f x", [SUDO, RM]), ("sudo ls", [SUDO]), ("git push --dry-run", []), ("git commit --amend", ["git commit --amend (rewrites history)"]),
+    ("git checkout -- .", ["git checkout -- . (discards changes)"]), ("git rebase --abort", []), ("git clean -xf|cat", ["git clean -f"]), ("grep 'git push' f", []),
+    ("curl -XPOST u -d x", ["curl with mutating verb", "curl with --data (POST-shaped)"]), ("curl -X get u", []), ("psql -c ' drop table x'", ["psql mutating SQL"]),
+    ("gcloud compute instances delete a", ["gcloud mutating command"]), ("aws s3api delete-object", ["aws mutating command"]), ("dd if=a of=b", ["dd (raw disk write)"]),
+    ("docker rm a", ["docker destructive command"]), ("kubectl delete pod a", ["kubectl mutating command"]), ("systemctl --user stop a", ["systemctl --user service control"]),
+    ("npm publish", ["npm publish"]), ("pip install --dry-run a", []), ("make deploy", ["deploy / release target"]), ("cat a > /dev/sda", ["redirection to block device"]),
+])
+def test_irreversible_commands(command, want):
+    assert commands.findings(command) == want
+
+
+def test_scalars_as_specified(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    routes = {"/a/:id/b?x=1": "/a/<var>/b", "/u/{p:path/x}": "/u/<var>", "/x/{}": "/x/{}", "<var>": "", "/a<var>": "/a", "/a/<var>": "/a/<var>", "a:b": "a<var>", "": ""}
+    assert {k: one(S.normalize_url(F.lit(k))) for k in routes} == routes
+    ids = spark.createDataFrame([("r::a/b.py::Foo",), ("r::v4-mini",), ("---",)], "i string")
+    assert [r.s for r in ids.select(S.slugify("i").alias("s")).collect()] == ["r__a_b_py__Foo", "r__v4_mini_" + hashlib.sha1(b"r::v4-mini").hexdigest()[:8], hashlib.sha1(b"---").hexdigest()[:8]]
+    kinds = {"external::pypi::unknown::x": "unresolved_internal", "external::npm::left": "external", "r::a": "external", "external::dynamic::g::1": "dynamic", "external::unresolved::db.query": "unresolved_receiver", "external::unresolved::r::a": "unresolved_internal", "external::builtins::len": "external"}
+    rows = spark.createDataFrame([(k,) for k in kinds], "t string").select("t", S.external_confidence("t").alias("c")).collect()
+    assert {r.t: r.c for r in rows} == kinds
+    lines = {"- **db** password `x`": "- **db** ", "password: null": None, "password: hunter2": "", "# see https://u:p@h/": "# ", "token = 'abcdefgh'": "", "tokens are fine": None}
+    for line, marker in lines.items():
+        got = one(S.redact(F.lit(line), F.lit("m.md"), F.lit(3)))
+        assert got == (line if marker is None else f"{marker}REDACTED — see canonical memory at `m.md` (line 3)")
+    for subject, fix in {"fix: a": True, "Fixed b": True, "prefix c": False, "fix(x): d": True, "fixture": False}.items():
+        assert one(S.says(F.lit(subject), S.FIX_WORDS)) is fix
 
 
 def test_ddl_replay():
@@ -105,13 +133,15 @@ def test_ddl_replay():
 
 
 def test_chunks():
-    assert search.chunk("") == [] and search.chunk("x" * 1800) == ["x" * 1800]
+    assert search.chunk("") == [] and search.chunk("  x  ") == ["  x  "] and search.chunk("x" * 1800) == ["x" * 1800]
     two = search.chunk("x" * 1801)
     assert len(two) == 2 and two[1] == "x" * 401
     late = "a" * 1000 + "\n\n" + "b" * 1500
-    assert search.chunk(late)[0] == "a" * 1000
+    assert search.chunk(late)[0] == "a" * 1000 + "\n\n" and search.chunk("a" * 900 + "\n\n" + "b" * 1500)[0] == "a" * 900 + "\n\n"
+    assert search.chunk("a" * 899 + ". " + "b" * 1500)[0] == "a" * 899 + "." and len(search.chunk("a" * 898 + ". " + "b" * 1500)[0]) == 1800
     early = "a" * 100 + "\n\n" + "b" * 2500
     assert len(search.chunk(early)[0]) == 1800
+    assert search.chunk("a" * 100 + "\n\n" + "b" * 1000 + ". " + "c" * 2000)[0].endswith("b.")
 
 
 def test_json_scans(spark, tmp_path):
