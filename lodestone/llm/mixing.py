@@ -1,15 +1,17 @@
 """Mixing sources to target weights (operator 7): a multivariate-hypergeometric splitting tree.
 
 Every source is dealt into about sqrt(documents) blocks by a hash. The driver holds one row a source (the
-mixture's specification, not its documents): sizes, targets and block quotas. A balanced tree over the output
-shards splits the quotas: at each node the left half's count of blocks of every source is one multivariate
-hypergeometric draw from what the node holds, so every leaf gets an exact count and all counts sum to the
-quota. A source's blocks in permuted order are then cut at the cumulated leaf counts (disjoint draws), and
-rows are ordered by hash inside their shard.
+mixture's specification, not its documents): sizes, targets and quotas. A unit is a block in one pass over its source;
+a source's quota counts the units that meet its target: all blocks of its whole passes, then the blocks of the rest.
+A balanced tree over the output shards splits the quotas: at each node the left half's count of units of every source
+is one multivariate hypergeometric draw from what the node holds, so every leaf gets an exact count and all counts sum to
+the quota. A source's units in permuted order are then cut at the cumulated leaf counts (disjoint draws): what a leaf
+draws is taken, as often as leaves draw it, and goes to that leaf's shard, where rows are ordered by hash.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in
-order; empty tables give empty results; repeated rows are separate documents with the same draw order, broken
-by the row's content; columns of the input called like a helper column are kept apart.
+order; empty tables give empty results; rows alike in their plain columns are drawn together; a text of any length is
+taken whole or not at all; ties of blocks go by their number. The input's columns travel as one, so their names cannot clash with helpers; those
+called like a column that mix() adds are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from .common import cut, word_count
 
 #: Weights of the sources in order of their names, repeated.
 WEIGHTS = (3, 1, 2)
-SHARE, CAP, SEED, SHARDS = 1.5, 2.0, 7, 64
+SHARE, CAP, SEED, SHARDS, PART_WORDS = 1.5, 2.0, 7, 64, 20_000_000
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shards")
 
 
 def targets(sizes: list[int], weights: list[float], total: float, cap: float = CAP) -> list[float]:
@@ -63,9 +66,11 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, source: str, text: str, seed: int) -> DataFrame:
+    """row (all columns), mix_key (source), mix_row (hash of the plain columns) and mix_size."""
     plain = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.simpleString() in ("string", "bigint", "int", "double", "boolean")]
-    key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    return docs.withColumns({"mix_size": word_count(text), "mix_key": key, "mix_row": F.xxhash64(F.lit(seed), *plain)})
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("null"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), key.alias("mix_key"), F.xxhash64(F.lit(seed), *plain).alias("mix_row"), word_count(f"`{text}`").alias("mix_size"))
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,13 +88,12 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"mix_key": pdf["mix_key"].iloc[0], "mix_row": np.array(keep, dtype=np.int64), "fits": True})
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", share: float = SHARE, cap: float = CAP, weights: tuple = WEIGHTS, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_taken (words, repeats counted) and mix_shard.
+def _drawn(docs: DataFrame, source: str = "source", text: str = "text", share: float = SHARE, cap: float = CAP, weights: tuple = WEIGHTS, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+    """row and the columns of mix().
 
     share is the mix's size as a part of all words; weights repeat over the sources by code point, null last.
-    A document is taken whole: 0, 1 or cap times at most. Whole passes over a source come first; the rest of
-    its target is drawn block by block, and in the one block that would overrun, document by document while
-    they still fit. Rows alike in every column are drawn together.
+    A document is taken whole: 0, 1 or cap times at most. In the one block that would overrun a target, documents
+    are taken one by one while they still fit.
     """
     spark = docs.sparkSession
     slim = cut(_keyed(docs, source, text, seed).select("mix_key", "mix_row", "mix_size"))
@@ -103,34 +107,44 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", share: floa
     rows = [(r.mix_key, s, float(g), p, float(x), max(1, int(r["n"] ** 0.5))) for r, s, g, p, x in zip(per, sizes, goal, passes, rest)]
     spec = spark.createDataFrame(rows, "mix_key string, mix_source_size long, mix_target double, passes long, rest double, nb int")
     block = F.pmod(F.xxhash64(F.lit(seed + 1), "mix_row"), "nb").cast("int").alias("block")
-    # spec has one row a source, so its broadcast does not grow with the documents.
-    slim = slim.join(F.broadcast(spec.select("mix_key", "rest", "nb")), "mix_key").select("mix_key", "mix_row", "mix_size", "rest", block)
-    sums = slim.groupBy("mix_key", "block", "rest").agg(F.sum("mix_size").alias("block_words"))
+    slim = slim.join(spec.select("mix_key", "passes", "rest", "nb"), "mix_key").select("mix_key", "mix_row", "mix_size", "passes", "rest", block)
+    sums = slim.groupBy("mix_key", "block", "passes", "rest").agg(F.sum("mix_size").alias("block_words"))
+    # Blocks are hash buckets, so the order of their numbers is a random permutation of the source.
     order = W.partitionBy("mix_key").orderBy("block")
     before = F.coalesce(F.sum("block_words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumns({"room": F.col("rest") - before, "nth": F.row_number().over(order)})
-    sums = sums.withColumn("state", F.when(F.col("block_words") <= F.col("room"), "all").when(F.col("room") > 0, "part").otherwise("none"))
-    sums = cut(sums.select("mix_key", "block", "nth", "room", "state"))
-    # Blocks are hash buckets in order of their number, which is a random permutation of the source already.
-    drawn = {r.mix_key: r.q for r in sums.where("state <> 'none'").groupBy("mix_key").agg(F.count("*").alias("q")).collect()}
-    ends = split_tree([drawn.get(r.mix_key, 0) for r in per], shards, seed).cumsum(axis=0)
+    sums = sums.withColumns({"room": F.col("rest") - before, "nth": F.row_number().over(order), "blocks": F.count("*").over(W.partitionBy("mix_key"))})
+    sums = sums.withColumn("partial", (F.col("block_words") > F.col("room")) & (F.col("room") > 0))
+    sums = cut(sums.withColumn("units", F.col("passes") + F.when(F.col("room") > 0, 1).otherwise(0)).select("mix_key", "block", "nth", "blocks", "units", "room", "partial"))
+    quota = {r.mix_key: r.q for r in sums.groupBy("mix_key").agg(F.sum("units").alias("q")).collect()}
+    ends = split_tree([quota[r.mix_key] for r in per], shards, seed).cumsum(axis=0)
     cuts = spark.createDataFrame([(r.mix_key, [int(x) for x in ends[:, i]]) for i, r in enumerate(per)], "mix_key string, ends array<long>")
-    shard = F.when(F.col("state") != "none", F.size(F.filter("ends", lambda x: x < F.col("nth"))))
-    blocks = sums.join(F.broadcast(cuts), "mix_key").select("mix_key", "block", "state", shard.alias("drawn_shard"))
-    edge = slim.join(sums.where("state = 'part'").select("mix_key", "block", "room"), ["mix_key", "block"])
+    # Unit u (from 0) of a block is unit u * blocks + nth of its source; the leaf whose cut holds it has drawn it.
+    leaf = lambda u: F.size(F.filter("ends", lambda x: x < u * F.col("blocks") + F.col("nth")))
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.col("passes") + 1), leaf), lambda s: s < shards)
+    blocks = sums.join(cuts, "mix_key").join(spec.select("mix_key", "passes"), "mix_key").select("mix_key", "block", "partial", "units", F.slice(drawn, F.lit(1), F.col("units").cast("int")).alias("drawn"))
+    edge = slim.join(sums.where("partial").select("mix_key", "block", "room"), ["mix_key", "block"])
     some = edge.select("mix_key", "mix_row", "mix_size", "room").groupBy("mix_key").applyInPandas(_fit, "mix_key string, mix_row long, fits boolean")
 
-    out = _keyed(docs, source, text, seed).join(F.broadcast(spec), "mix_key").withColumn("block", block)
+    out = _keyed(docs, source, text, seed).join(spec.drop("passes", "rest"), "mix_key").withColumn("block", block)
     out = out.join(blocks, ["mix_key", "block"]).join(some, ["mix_key", "mix_row"], "left")
-    extra = F.when(F.col("state") == "all", 1).when(F.col("fits"), 1).otherwise(0)
-    any_shard = F.pmod(F.xxhash64(F.lit(seed + 2), "mix_row"), F.lit(shards)).cast("int")
-    taken = ((F.col("passes") + extra) * F.col("mix_size")).cast("long")
-    return out.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", taken.alias("mix_taken"), F.coalesce("drawn_shard", any_shard).alias("mix_shard"))
-
-
-def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every taken document as often as it is taken, by shard, shuffled inside its shard."""
-    taken = mix(docs, **options).where("mix_taken > 0")
-    times = (F.col("mix_taken") / F.col("mix_size")).cast("int")
-    one = taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times)))
-    return one.sortWithinPartitions("mix_shard", F.xxhash64(F.lit(SEED), "doc_id", "mix_copy")).select(*docs.columns)
+    # The unit that would overrun is the block's last; those of its documents that do not fit lose it.
+    whole = F.when(F.col("partial") & F.col("fits").isNull(), F.slice("drawn", F.lit(1), F.greatest(F.col("units").cast("int") - 1, F.lit(0)))).otherwise(F.col("drawn"))
+    out = out.withColumn("mix_shards", F.when(F.col("mix_size") > 0, whole).otherwise(F.array().cast("array<int>")))
+    out = out.withColumn("mix_taken", (F.size("mix_shards") * F.col("mix_size")).cast("long"))
+    return out.select("row", *ADDED)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs with mix_size, mix_source_size, mix_target, mix_taken (words, repeats counted) and mix_shards (one entry each time it is taken)."""
+    return _drawn(docs, **options).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def emit(docs: DataFrame, part_words: int = PART_WORDS, **options) -> DataFrame:
+    """The mix itself: every taken document as often as it is taken, each shard in partitions of about part_words words, shuffled inside."""
+    shards = options.get("shards", SHARDS)
+    taken = _drawn(docs, **options)
+    total = taken.agg(F.sum("mix_taken")).first()[0] or 0
+    parts = max(1, -(-total // (shards * part_words)))
+    one = taken.select("row", F.posexplode("mix_shards").alias("copy", "shard")).withColumn("at", F.xxhash64(F.lit(SEED), "row", "copy"))
+    one = one.repartition("shard", F.pmod("at", F.lit(parts))).sortWithinPartitions("shard", "at")
+    return one.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -156,7 +156,7 @@ def test_line_dedup_recall_and_plan(spark):
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(5)).collect()
-    key = lambda rows: Counter((r.doc_id, r.text, r.mix_size, r.mix_target, r.mix_taken, r.mix_shard) for r in rows)
+    key = lambda rows: Counter((r.doc_id, r.text, r.mix_size, r.mix_target, r.mix_taken, tuple(r.mix_shards)) for r in rows)
     assert key(got) == key(again) and len(got) == docs.count()
     per = {}
     for r in got:
