@@ -12,7 +12,8 @@ common.components().
 
 Defined cases: no words gives fingerprint 0, linked like any other; fewer words than a shingle make one; equal
 fingerprints meet before any comparison, so copies cost nothing; a null doc_id links but is nobody's component
-id; empty tables give empty results.
+id; repeated rows each get a row (keep_one: one of them stays); texts of any length are whole; other columns pass, whatever their
+names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, words
@@ -50,14 +51,19 @@ def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and key (128 bits of doc_id and text) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, k, seed) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp, "ka": pdf["ka"], "kb": pdf["kb"]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    keyed = docs.select("doc_id", "text", *[x.alias(n) for x, n in zip(_key(), ("ka", "kb"))])
+    return keyed.mapInPandas(run, "doc_id long, fp long, ka long, kb long")
+
+
+def _key() -> list[Column]:
+    return [F.xxhash64(F.lit(seed), "doc_id", "text") for seed in (3, 4)]
 
 
 def blocks_for(n: int, radius: int) -> int:
@@ -194,18 +200,28 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
     return dealt.repartition(parts, "g").sortWithinPartitions("g").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text)."""
+def _grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """All rows' fingerprints, and the root of every fingerprint's component (fp, first, root)."""
     each = cut(fingerprints(docs))
     fps = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
     comp = components(links(fps.select("fp"), radius))
-    placed = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return each, fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text)."""
+    each, placed = _grouped(docs, radius)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     known = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
     return each.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without the rows that are not the first of their component; rows of one doc_id stay together."""
-    verdict = near_duplicates(docs, radius).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti")
+    """Of every component of docs one row: the least doc_id (null last), of its rows the least by a hash of doc_id and text, of alike ones any."""
+    each, placed = _grouped(docs, radius)
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "ka", "kb")
+    stay = each.join(placed.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("k")).select("k.ka", "k.kb")
+    rows = docs.select(*[x.alias(n) for x, n in zip(_key(), ("ka", "kb"))], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # Rows alike in doc_id and text have one key; the one whose columns hash least stays.
+    one = rows.join(stay, ["ka", "kb"], "left_semi").groupBy("ka", "kb").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select(*[F.col(f"row.`{c}`") for c in docs.columns])
