@@ -4,10 +4,11 @@ A Bloom filter whose slots hold a bitmask of languages instead of a bit (bit-sli
 ANDs its slots and yields all languages that contain it. Per language, the popcount over a text's n-grams is
 corrected for the filter's false positives, and the largest corrected share decides.
 
-The n-grams (3 and 4 letters, words joined by one space, lower case) are learned from a bounded sample of labelled rows (SAMPLE a
-language, taken by a hash of doc_id); the filter's size is fixed (2**SLOTS_LOG2 slots), so the model does not
+The n-grams (3 and 4 letters, words joined by one space, lower case) are learned from a bounded sample of different labelled texts (about SAMPLE a
+language, those with the least hashes); the filter's size is fixed (2**SLOTS_LOG2 slots), so the model does not
 grow with the corpus. Defined cases: a null text, or one without a letter, is "und" with score 0; without any
-labelled row all texts are "und"; ties go to the first language in order; texts are used whole.
+labelled row all texts are "und"; ties go to the first language in order; texts of any length are used whole;
+repeated rows each get a row, but a text is learned from once; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,14 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLE, SLOTS_LOG2, HASHES, ORDERS, MIN_DF = 1000, 21, 2, (3, 4), 3
 #: A language holds an n-gram only if its rate there is at least this part of its highest rate in any language.
 RATIO = 0.5
 MAX_LANGUAGES = 62
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What \w holds beside letters, digits and _: numbers like one half or Roman eight. Built by that rule.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def grams(text: str | None, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
@@ -60,10 +62,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, log2: int = SLOTS_LOG2, min_df: i
     names = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id", F.xxhash64("text")))
-    # Ranks are taken over hashes alone; the texts join the bounded winners.
-    ids = known.select("doc_id", "lang", F.xxhash64("text").alias("th"), rank.alias("r")).where(F.col("r") <= sample).select("doc_id", "lang", "th").distinct()
-    rows = known.withColumn("th", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "lang", "th"])
+    # Of each language's different texts those with the least hashes, by a cut-off from their number: no group is ever ranked in one task.
+    known = known.withColumn("th", F.xxhash64(F.lit(1), "text"))
+    texts = known.select("lang", "th").distinct()
+    most = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    unit = F.pmod(F.xxhash64(F.lit(2), "th"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    ids = texts.join(most, "lang").where(unit * F.col("n") < sample).select("lang", "th")
+    rows = known.join(F.broadcast(ids), ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df: Counter = Counter()
@@ -128,12 +133,15 @@ def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def predict(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([decide(t, shared.value) for t in s], columns=["lang_pred", "lang_score", "lang_coverage"])
 
-    return docs.withColumn("lang_id", predict(F.col(text))).select(*docs.columns, "lang_id.*")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_coverage")]
+    # The row travels as one column, so names cannot clash; columns called like the new ones are replaced.
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *kept).alias("row"), predict(F.col(f"`{text}`")).alias("lang_id"))
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_coverage")], "lang_id.*")
 
 
 def keep_known(docs: DataFrame, model: dict, least: float = 0.2) -> DataFrame:
     """docs without those that have no letter or whose n-grams are mostly of no known language; without a model only the former go."""
-    got = identify(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text"), model)
+    got = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model)
     if not model["languages"]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return got.where((F.col("lang_pred") != "und") & (F.col("lang_coverage") >= least)).select("row.*")
+    return got.where((F.col("lang_pred") != "und") & (F.col("lang_coverage") >= least)).select(*[F.col(f"row.`{c}`") for c in docs.columns])
