@@ -10,7 +10,7 @@ draws is taken, as often as leaves draw it, and goes to that leaf's shard, where
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in
 order; empty tables give empty results; rows alike in their plain columns are drawn together; a text of any length is
-taken whole or not at all; ties of blocks go by their number. The input's columns travel as one, so their names cannot clash with helpers; those
+taken whole or not at all; ties of blocks go by their number. The input's columns travel under other names, so they cannot clash with helpers; those
 called like a column that mix() adds are replaced.
 """
 
@@ -27,7 +27,7 @@ from .common import cut, word_count
 
 #: Weights of the sources in order of their names, repeated.
 WEIGHTS = (3, 1, 2)
-SHARE, CAP, SEED, SHARDS, PART_WORDS = 1.5, 2.0, 7, 64, 20_000_000
+SHARE, CAP, SEED, SHARDS, PART_WORDS, SOURCES = 1.5, 2.0, 7, 64, 20_000_000, 5_000
 ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_shards")
 
 
@@ -66,11 +66,11 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, source: str, text: str, seed: int) -> DataFrame:
-    """row (all columns), mix_key (source), mix_row (hash of the plain columns) and mix_size."""
+    """All columns under names of their own (c0, c1, ...), mix_key (source), mix_row (hash of the plain columns) and mix_size."""
     plain = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.simpleString() in ("string", "bigint", "int", "double", "boolean")]
     key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("null"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(row.alias("row"), key.alias("mix_key"), F.xxhash64(F.lit(seed), *plain).alias("mix_row"), word_count(f"`{text}`").alias("mix_size"))
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*own, key.alias("mix_key"), F.xxhash64(F.lit(seed), *plain).alias("mix_row"), word_count(f"`{text}`").alias("mix_size"))
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,7 +89,7 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _drawn(docs: DataFrame, source: str = "source", text: str = "text", share: float = SHARE, cap: float = CAP, weights: tuple = WEIGHTS, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
-    """row and the columns of mix().
+    """The input's columns as c0, c1, ..., mix_row, and the columns that mix() adds.
 
     share is the mix's size as a part of all words; weights repeat over the sources by code point, null last.
     A document is taken whole: 0, 1 or cap times at most. In the one block that would overrun a target, documents
@@ -104,10 +104,12 @@ def _drawn(docs: DataFrame, source: str = "source", text: str = "text", share: f
     goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(per))], share * sum(sizes), cap)
     passes = [int(min(cap, g // s)) if s else 0 for g, s in zip(goal, sizes)]
     rest = [max(0.0, g - p * s) for g, p, s in zip(goal, passes, sizes)]
+    # One row a source; broadcast only where the sources are few, so that a hot source is not one task's.
+    small = F.broadcast if len(per) <= SOURCES else lambda df: df
     rows = [(r.mix_key, s, float(g), p, float(x), max(1, int(r["n"] ** 0.5))) for r, s, g, p, x in zip(per, sizes, goal, passes, rest)]
     spec = spark.createDataFrame(rows, "mix_key string, mix_source_size long, mix_target double, passes long, rest double, nb int")
     block = F.pmod(F.xxhash64(F.lit(seed + 1), "mix_row"), "nb").cast("int").alias("block")
-    slim = slim.join(spec.select("mix_key", "passes", "rest", "nb"), "mix_key").select("mix_key", "mix_row", "mix_size", "passes", "rest", block)
+    slim = slim.join(small(spec.select("mix_key", "passes", "rest", "nb")), "mix_key").select("mix_key", "mix_row", "mix_size", "passes", "rest", block)
     sums = slim.groupBy("mix_key", "block", "passes", "rest").agg(F.sum("mix_size").alias("block_words"))
     # Blocks are hash buckets, so the order of their numbers is a random permutation of the source.
     order = W.partitionBy("mix_key").orderBy("block")
@@ -121,30 +123,30 @@ def _drawn(docs: DataFrame, source: str = "source", text: str = "text", share: f
     # Unit u (from 0) of a block is unit u * blocks + nth of its source; the leaf whose cut holds it has drawn it.
     leaf = lambda u: F.size(F.filter("ends", lambda x: x < u * F.col("blocks") + F.col("nth")))
     drawn = F.filter(F.transform(F.sequence(F.lit(0), F.col("passes") + 1), leaf), lambda s: s < shards)
-    blocks = sums.join(cuts, "mix_key").join(spec.select("mix_key", "passes"), "mix_key").select("mix_key", "block", "partial", "units", F.slice(drawn, F.lit(1), F.col("units").cast("int")).alias("drawn"))
+    blocks = sums.join(small(cuts), "mix_key").join(small(spec.select("mix_key", "passes")), "mix_key").select("mix_key", "block", "partial", "units", F.slice(drawn, F.lit(1), F.col("units").cast("int")).alias("drawn"))
     edge = slim.join(sums.where("partial").select("mix_key", "block", "room"), ["mix_key", "block"])
     some = edge.select("mix_key", "mix_row", "mix_size", "room").groupBy("mix_key").applyInPandas(_fit, "mix_key string, mix_row long, fits boolean")
 
-    out = _keyed(docs, source, text, seed).join(spec.drop("passes", "rest"), "mix_key").withColumn("block", block)
+    out = _keyed(docs, source, text, seed).join(small(spec.drop("passes", "rest")), "mix_key").withColumn("block", block)
     out = out.join(blocks, ["mix_key", "block"]).join(some, ["mix_key", "mix_row"], "left")
     # The unit that would overrun is the block's last; those of its documents that do not fit lose it.
     whole = F.when(F.col("partial") & F.col("fits").isNull(), F.slice("drawn", F.lit(1), F.greatest(F.col("units").cast("int") - 1, F.lit(0)))).otherwise(F.col("drawn"))
     out = out.withColumn("mix_shards", F.when(F.col("mix_size") > 0, whole).otherwise(F.array().cast("array<int>")))
     out = out.withColumn("mix_taken", (F.size("mix_shards") * F.col("mix_size")).cast("long"))
-    return out.select("row", *ADDED)
+    return out.select(*[f"c{i}" for i in range(len(docs.columns))], "mix_row", *ADDED)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """docs with mix_size, mix_source_size, mix_target, mix_taken (words, repeats counted) and mix_shards (one entry each time it is taken)."""
-    return _drawn(docs, **options).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
+    return _drawn(docs, **options).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ADDED], *ADDED)
 
 
 def emit(docs: DataFrame, part_words: int = PART_WORDS, **options) -> DataFrame:
     """The mix itself: every taken document as often as it is taken, each shard in partitions of about part_words words, shuffled inside."""
     shards = options.get("shards", SHARDS)
-    taken = _drawn(docs, **options)
-    total = taken.agg(F.sum("mix_taken")).first()[0] or 0
-    parts = max(1, -(-total // (shards * part_words)))
-    one = taken.select("row", F.posexplode("mix_shards").alias("copy", "shard")).withColumn("at", F.xxhash64(F.lit(SEED), "row", "copy"))
+    total = SHARE * (docs.agg(F.sum(word_count(f"`{options.get('text', 'text')}`"))).first()[0] or 0)
+    parts = max(1, int(-(-total // (shards * part_words))))
+    one = _drawn(docs, **options).select("*", F.posexplode("mix_shards").alias("copy", "shard"))
+    one = one.withColumn("at", F.xxhash64(F.lit(SEED), "mix_row", "copy"))
     one = one.repartition("shard", F.pmod("at", F.lit(parts))).sortWithinPartitions("shard", "at")
-    return one.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    return one.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
