@@ -26,14 +26,17 @@ SAMPLE, SLOTS_LOG2, HASHES, ORDERS, MIN_DF = 1000, 21, 2, (3, 4), 3
 #: A language holds an n-gram only if its rate there is at least this part of its highest rate in any language.
 RATIO = 0.5
 MAX_LANGUAGES = 62
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: What \w holds beside letters, digits and _: numbers like one half or Roman eight. Built by that rule.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 
 
 def grams(text: str | None, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     """Hashes of all n-grams of the text's letters, with repeats."""
-    s = f" {_NOT_LETTERS.sub(' ', (text or '').lower()).strip()} "
+    s = _NOT_LETTERS.sub(" ", (text or "").lower())
+    if not s.replace(" ", "").isalpha():  # rare: numbers that are no digits
+        s = " ".join(_NUMBERS.sub(" ", s).split())
+    s = f" {s.strip()} "
     if s.isspace():
         return np.zeros(0, np.uint64)
     c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
