@@ -1,4 +1,4 @@
-"""Queries on the graph view: traversal, joins, aggregates, windows, claims, classification, ranking."""
+"""Queries on the graph view: traversal, joins, aggregates, windows, claims, classification."""
 
 from __future__ import annotations
 
@@ -256,7 +256,7 @@ SELECT f.id, f.kind, f.rule_order, coalesce((SELECT string_agg(v.kind, ',' ORDER
 
 @query(CLASS_SQL)
 def classify_with_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """CLS-01, CLS-10: the first rule that matches decides; later ones that differ are recorded. The rules are stand-ins on parts."""
+    """CLS-01 (engine): the first rule that matches decides; later ones that differ are recorded. The rules are stand-ins on parts."""
     part = table(spark, d, "part").withColumn("id", F.concat(F.lit("part::"), F.col("p_partkey").cast("string")))
     heavy = table(spark, d, "lineitem").where("l_quantity >= 50").select(F.concat(F.lit("part::"), F.col("l_partkey").cast("string")).alias("id"))
     rules = [("test", F.col("p_type") == "PROMO"), ("endpoint", F.col("p_size") == 1), ("model", heavy), ("service", F.col("p_retailprice") > 1500)]
@@ -293,36 +293,3 @@ def repo_activity_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 shared("caveat_histogram", "SELECT caveat, count(*) AS n FROM (SELECT DISTINCT dst AS id, 'external_target' AS caveat FROM {edges} WHERE confidence = 'external' UNION ALL SELECT DISTINCT dst, 'fuzzy_target' FROM {edges} WHERE confidence = 'fuzzy' UNION ALL SELECT id, 'unclaimed' FROM {nodes} WHERE id NOT IN (SELECT target FROM {claims})) x GROUP BY caveat")
-
-# --- ranking of candidate processes -----------------------------------------------------------------------
-
-shared("rank_rule_shape", "SELECT c.owner_id, count(DISTINCT n.path) AS kinds, bround(least(1.0E0, 0.6E0 + 0.1E0 * (count(DISTINCT n.path) - 3)), 6) AS confidence FROM {claims} c JOIN {nodes} n ON n.id = c.target GROUP BY c.owner_id HAVING count(DISTINCT n.path) >= 3")
-shared("rank_fan_in", "SELECT e.dst AS id, count(DISTINCT s.path) AS kinds, count(*) AS n, bround(least(1.0E0, 0.55E0 + 0.1E0 * (count(DISTINCT s.path) - 3) + least(0.2E0, count(*) / 100.0E0)), 6) AS confidence FROM {edges} e JOIN {nodes} s ON s.id = e.src GROUP BY e.dst HAVING count(DISTINCT s.path) >= 3")
-
-
-@query(REACH + ", k AS (SELECT r.start, count(DISTINCT n.path) AS kinds, sum(CASE WHEN n.path = 'PROMO' THEN 1 ELSE 0 END) AS sinks FROM reached r JOIN nodes n ON n.id = r.node WHERE r.depth BETWEEN 1 AND 2 GROUP BY r.start) SELECT start, kinds, sinks FROM k WHERE kinds >= 2 OR sinks >= 2", recursive=True)
-def rank_forward_reach(spark: SparkSession, d: str) -> DataFrame:
-    """PRC-C: entry points whose reach spans several kinds or sinks."""
-    at = G.nodes(spark, d).select(F.col("id").alias("node"), "path")
-    k = _reach(spark, d).where("depth BETWEEN 1 AND 2").join(at, "node").groupBy("start").agg(F.countDistinct("path").alias("kinds"), F.sum((F.col("path") == "PROMO").cast("long")).alias("sinks"))
-    return k.where("kinds >= 2 OR sinks >= 2")
-
-
-@query(REACH + ", c AS (SELECT node, count(DISTINCT start) AS n_eps FROM reached WHERE depth > 0 GROUP BY node) SELECT c.node, c.n_eps, round_even(0.8e0 * greatest(0.3e0, 1 - abs(c.n_eps - 5) / 12.0e0), 6) AS confidence FROM c WHERE c.n_eps BETWEEN 3 AND 15", recursive=True)
-def rank_convergence(spark: SparkSession, d: str) -> DataFrame:
-    """PRC-D, PRC-E: nodes that a handful of entry points converge on."""
-    c = _reach(spark, d).where("depth > 0").groupBy("node").agg(F.countDistinct("start").alias("n_eps")).where("n_eps BETWEEN 3 AND 15")
-    return c.withColumn("confidence", F.bround(0.8 * F.greatest(F.lit(0.3), 1 - F.abs(F.col("n_eps") - 5) / 12.0), 6))
-
-
-@query(REACH + ", h AS (SELECT start, min(CASE WHEN n.path = 'PROMO' THEN depth END) AS sink_depth FROM reached r JOIN nodes n ON n.id = r.node WHERE depth > 0 GROUP BY start) SELECT h.start, h.sink_depth FROM h WHERE h.sink_depth IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.dst = h.start)", recursive=True)
-def rank_headless(spark: SparkSession, d: str) -> DataFrame:
-    """PRC-G: starts that nothing calls and that reach a sink, with its least depth."""
-    at = G.nodes(spark, d).select(F.col("id").alias("node"), "path")
-    h = _reach(spark, d).where("depth > 0").join(at, "node").groupBy("start").agg(F.min(F.when(F.col("path") == "PROMO", F.col("depth"))).alias("sink_depth")).where("sink_depth IS NOT NULL")
-    return h.join(G.calls(spark, d).select(F.col("dst").alias("start")), "start", "left_anti")
-
-
-shared("rank_union", """WITH a AS (SELECT c.owner_id AS id, 'rule_shape' AS signal, bround(least(1.0E0, 0.6E0 + 0.1E0 * (count(DISTINCT n.path) - 3)), 6) AS confidence, count(*) AS weight FROM {claims} c JOIN {nodes} n ON n.id = c.target GROUP BY c.owner_id HAVING count(DISTINCT n.path) >= 3),
-b AS (SELECT e.dst AS id, 'fan_in' AS signal, bround(least(1.0E0, 0.55E0 + 0.1E0 * (count(DISTINCT s.path) - 3) + least(0.2E0, count(*) / 100.0E0)), 6) AS confidence, count(*) AS weight FROM {edges} e JOIN {nodes} s ON s.id = e.src GROUP BY e.dst HAVING count(DISTINCT s.path) >= 3)
-SELECT id, signal, confidence, weight FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u ORDER BY confidence DESC, weight DESC, id LIMIT 100""")
