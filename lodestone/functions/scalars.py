@@ -124,3 +124,22 @@ def frontmatter(text: Column) -> Column:
     """Key-value pairs of the block between the leading lines of three dashes."""
     block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)
     return F.when(block != "", F.str_to_map(block, F.lit("\n"), F.lit(":")))
+
+
+#: Fixed value: characters of a first paragraph.
+PARAGRAPH = 280
+_EDGES = r"(?U)^\s+|\s+$"
+
+
+def first_paragraph(text: Column, limit: int = PARAGRAPH) -> Column:
+    """The first paragraph that is not blank, without its heading marks, cut with an ellipsis; empty if there is none."""
+    body = F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", "")
+    paragraphs = F.filter(F.transform(F.split(body, r"(?U)\n\s*\n"), lambda p: F.regexp_replace(p, _EDGES, "")), lambda p: p != "")
+    first = F.regexp_replace(F.coalesce(F.get(paragraphs, 0), F.lit("")), r"(?U)^#+\s*", "")
+    cut = F.concat(F.regexp_replace(F.substring(first, 1, limit - 1), r"(?U)\s+$", ""), F.lit("…"))
+    return F.when(F.length(first) > limit, cut).otherwise(first)
+
+
+def is_common_path(path: Column, prefixes: tuple[str, ...]) -> Column:
+    """Whether a path begins with any of the prefixes."""
+    return F.coalesce(*[F.when(path.startswith(p), F.lit(True)) for p in prefixes], F.lit(False)) if prefixes else F.lit(False)

@@ -57,3 +57,21 @@ def test_signals_all_speak_and_covered_are_silent(spark):
     assert {r.signal.split("_on_")[0] for r in rows} == {"rule_shape_mismatch", "entrypoint_fan_in", "endpoint_forward_reach", "convergence", "page_initiated_flow", "hook_initiated_flow", "headless_initiated_flow"}
     covered = {r.id for r in R.covered_ids(*[facts(spark, n) for n in ("steps", "flows", "code_nodes", "links")]).collect()}
     assert {"use::5", "DELETE::/api/a3", "POST::/api/a7", "svc::2"} <= covered and not covered & {r.anchor for r in rows}
+
+
+def test_first_paragraph_and_hash(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.hashing import structural_hash
+    from lodestone.functions.scalars import first_paragraph, is_common_path
+
+    texts = ["---\na: b\n---\n\n## Head line\nmore\n\nnext", "", "  \n \n x ", "y" * 281, "z" * 278 + " " + "z" * 10, None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.p for r in df.select("k", first_paragraph(F.col("t")).alias("p")).orderBy("k").collect()]
+    assert got == ["Head line\nmore", "", "x", "y" * 279 + "…", "z" * 278 + "…", ""]
+    rows = spark.createDataFrame([("f", "é", '{"b": 1, "a": [null, true]}', None), ("f", 'q"', None, "x\n")], "p string, n string, s string, b string")
+    want = ['{"body_text": "", "name": "\\u00e9", "primitive": "f", "signature": {"a": [null, true], "b": 1}}', '{"body_text": "x\\n", "name": "q\\"", "primitive": "f", "signature": {}}']
+    assert [r.h for r in rows.select(structural_hash(*map(F.col, "pnsb")).alias("h")).collect()] == [hashlib.sha256(w.encode()).hexdigest() for w in want]
+    assert df.where(is_common_path(F.coalesce("t", F.lit("")), ("yy", "zz"))).count() == 2
