@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-from . import audit, bpe, langid, linededup, lmscore, mixing, quality, secrets, simhash, suffixdedup, tokencount, topk
+from . import audit, bpe, langid, lexical, linededup, lmscore, mixing, quality, secrets, simhash, suffixdedup, tokencount, topk
 from .common import remainder
 
 VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -67,6 +67,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
 
@@ -75,8 +79,9 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_simhash, op4_quality_rules, op5_bpe, op6_secret_scans, op7_source_mixing, op8_suffix_dedup, op9_line_dedup, op10_lm_scoring, op12_token_counts, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_simhash, op4_quality_rules, op5_bpe, op6_secret_scans, op7_source_mixing, op8_suffix_dedup, op9_line_dedup, op10_lm_scoring, op11_ranked_search, op12_token_counts, op13_filter_audit)}
 ORACLE: dict[str, str] = {
+    "op11_ranked_search": lexical.SEARCH_SQL,
     "op13_filter_audit": audit.AUDIT_SQL,
     "op2_exact_topk": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL"
     " AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c::DOUBLE))) = 0),"
