@@ -22,6 +22,7 @@ length are used whole; empty tables give empty results; columns but ids and text
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from .common import cut
 
 #: Everything in ASCII but digits and letters parts terms.
 NOT_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK, SEGMENT_DOCS, SEGMENT_BYTES, GROUP_DOCS = 128, 16_384, 32 << 20, 16_384
+BLOCK, SEGMENT_DOCS, SEGMENT_BYTES, GROUP_DOCS = 128, 16_384, 12 << 20, 16_384
 TOP, ITEMS, SAMPLE = 50, 1_000, 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A byte's stand-in: A-Z in lower case, a blank where terms part.
@@ -113,48 +114,62 @@ def packed(term: np.ndarray, doc: np.ndarray, tf: np.ndarray, n: np.ndarray) ->
     return df, [(raw(head), (last + 1) * _HEAD.itemsize), (raw(pairs), np.cumsum(n_pairs)[last] * _PAIR.itemsize), (body, ends[last])]
 
 
-def _segment(name: int, ids: list[int | None], counts: list[Counter]) -> pa.RecordBatch:
-    """The rows of one segment; the row of the empty term holds its documents."""
-    number: dict[bytes, int] = {}
-    n = np.array([sum(c.values()) for c in counts], np.int64)
-    per = np.array([len(c) for c in counts])
-    term = np.fromiter((number.setdefault(t, len(number)) for c in counts for t in c), np.int64, int(per.sum()))
-    tf = np.fromiter((x for c in counts for x in c.values()), np.int64, len(term))
-    doc = np.repeat(np.arange(len(counts)), per)
-    order = np.argsort(term, kind="stable")
-    df, parts = packed(term[order], doc[order], tf[order], n[doc[order]])
-    names = list(number)
-    no_id = np.array([i is None for i in ids])
-    known = np.array([0 if i is None else i for i in ids], np.int64)
-    documents = [known.tobytes(), no_id.tobytes(), n.tobytes()]
-    columns = [
-        pa.array(np.full(len(names) + 1, name)),
-        pa.concat_arrays([pa.array([""]), _binary(np.frombuffer(b"".join(names), np.uint8), np.cumsum([len(t) for t in names]), pa.string())]),
-        pa.array(np.concatenate([[len(ids)], df])),
-        pa.array(np.concatenate([[n.sum()], np.zeros(len(names), np.int64)])),
-        *[pa.concat_arrays([pa.array([one], pa.binary()), _binary(data, ends, pa.binary())]) for one, (data, ends) in zip(documents, parts)],
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["segment", "term", "df", "total", "head", "impacts", "body"])
+class Segment:
+    """Documents on their way into a segment: only numbers are kept of them, beside each different term once."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.ids: list[int | None] = []
+        self.n, self.per = array("q"), array("q")
+        self.term, self.tf = array("i"), array("i")
+        self.size = 0
+
+    def add(self, doc: int | None, text: str) -> None:
+        found = Counter(terms(text))
+        if not found:
+            return
+        number = self.number
+        self.ids.append(doc)
+        self.term.extend([number.setdefault(t, len(number)) for t in found])
+        self.tf.extend(found.values())
+        self.n.append(found.total())
+        self.per.append(len(found))
+        self.size += len(text)
+
+    def rows(self, name: int) -> pa.RecordBatch:
+        """A row a term; the row of the empty term holds the documents."""
+        n, per = np.frombuffer(self.n, np.int64), np.frombuffer(self.per, np.int64)
+        term = np.frombuffer(self.term, np.int32)
+        order = np.argsort(term, kind="stable")
+        doc = np.repeat(np.arange(len(per)), per)[order]
+        df, parts = packed(term[order], doc, np.frombuffer(self.tf, np.int32)[order].astype(np.int64), n[doc])
+        names = list(self.number)
+        no_id = np.array([i is None for i in self.ids])
+        known = np.array([0 if i is None else i for i in self.ids], np.int64)
+        documents = [known.tobytes(), no_id.tobytes(), n.tobytes()]
+        columns = [
+            pa.array(np.full(len(names) + 1, name)),
+            pa.concat_arrays([pa.array([""]), _binary(np.frombuffer(b"".join(names), np.uint8), np.cumsum([len(t) for t in names]), pa.string())]),
+            pa.array(np.concatenate([[len(self.ids)], df])),
+            pa.array(np.concatenate([[n.sum()], np.zeros(len(names), np.int64)])),
+            *[pa.concat_arrays([pa.array([one], pa.binary()), _binary(data, ends, pa.binary())]) for one, (data, ends) in zip(documents, parts)],
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["segment", "term", "df", "total", "head", "impacts", "body"])
 
 
 def build(docs: DataFrame, segment_docs: int = SEGMENT_DOCS, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The index of docs (doc_id, text), written to the shared folder: a row a segment and term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, size, nth, part = [], [], 0, 0, 0
+        held, nth, part = Segment(), 0, 0
         for batch in batches:
-            for doc, text, part in zip(*[batch[c].to_pylist() for c in ("doc_id", "text", "part")]):
-                found = Counter(terms(text))
-                if not found:
-                    continue
-                ids.append(doc)
-                counts.append(found)
-                size += len(text)
-                if len(ids) >= segment_docs or size >= segment_bytes:
-                    yield _segment((part << 32) + nth, ids, counts)
-                    ids, counts, size, nth = [], [], 0, nth + 1
-        if ids:
-            yield _segment((part << 32) + nth, ids, counts)
+            for doc, text, part in zip(*[batch[c] for c in ("doc_id", "text", "part")]):
+                held.add(doc.as_py(), text.as_py())
+                if len(held.ids) >= segment_docs or held.size >= segment_bytes:
+                    yield held.rows((part.as_py() << 32) + nth)
+                    held, nth = Segment(), nth + 1
+        if held.ids:
+            yield held.rows((part.as_py() << 32) + nth)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
     return cut(rows.mapInArrow(run, INDEX))
