@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import included
+from lodestone.storage import cut
 
 from .traverse import reach
 
@@ -120,7 +121,9 @@ def headless(nodes: DataFrame, edges: DataFrame, covered: DataFrame, shape: Shap
 
 def candidates(claims: DataFrame, nodes: DataFrame, edges: DataFrame, covered: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """All signals; take the best by (confidence, fan_out), both descending."""
-    reached = mutating_reach(nodes, edges, shape)
+    # Each is read by several signals.
+    nodes, edges, covered = cut(nodes), cut(edges), cut(covered)
+    reached = cut(mutating_reach(nodes, edges, shape))
     out = rule_shape(claims, nodes, covered)
     for one in (fan_in(nodes, edges, covered, shape), forward_reach(reached, nodes, covered, shape), convergence(reached, nodes, covered, shape), initiated(nodes, edges, covered, shape), headless(nodes, edges, covered, shape)):
         out = out.unionByName(one)

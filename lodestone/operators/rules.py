@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.storage import cut
+
 from .traverse import closure
 
 #: The rules in their order, edges that are side effects, and bases of validated models.
@@ -77,6 +79,8 @@ def classify_corpus(prims: DataFrame, edges: DataFrame, cues: Cues) -> DataFrame
 
     A rule that confirms the kind already given takes its place, and conflicts up to there are forgotten.
     """
+    # Each is read by every rule; verdicts are written as they grow, so that no rule works out another again.
+    prims, edges = cut(prims), cut(edges)
     functions = prims.where("primitive = 'function'")
     schemas = prims.where("kind = 'schema'")
     classes = prims.where("primitive = 'class' AND kind IS DISTINCT FROM 'schema'")
@@ -85,11 +89,13 @@ def classify_corpus(prims: DataFrame, edges: DataFrame, cues: Cues) -> DataFrame
     found = (test_functions(functions, edges), hooks(functions, edges, cues.hooks), components(functions), endpoints(functions, cues.routes), models(classes, edges, schemas, cues))
     for k, (kind, ids) in enumerate(zip(KINDS, found, strict=False), 1):
         verdicts = verdicts.unionByName(ids.select("id", F.lit(kind).alias("kind"), F.lit(k).alias("ord")))
+    verdicts = cut(verdicts)
     entries = _decided(verdicts).where("kind = 'endpoint'").select("id")
     reached = closure(entries, calls).select(F.col("node").alias("id"))
     acting = _with_edges(functions, edges.where(F.col("kind").isin(*SIDE_EFFECTS))).select("id")
     services = acting.join(reached, "id", "left_semi").join(entries, "id", "left_anti")
     verdicts = verdicts.unionByName(services.select("id", F.lit("service").alias("kind"), F.lit(6).alias("ord")))
+    verdicts = cut(verdicts)
     known = _decided(verdicts).select("id")
     below = closure(known, calls, barrier=known).select(F.col("node").alias("id")).join(known, "id", "left_anti")
     utils = functions.select("id").join(below, "id", "left_semi")

@@ -58,18 +58,17 @@ VIEWS = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, texts: dict[str, str] = VIEWS) -> DataFrame:
     used: dict[str, DataFrame] = {}
 
     def bind(m: re.Match) -> str:
         used.setdefault(m[2], table(spark, sf_dir, m[2]))
         return f"{m[1]} {{{m[2]}}}"
 
-    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", bind, VIEWS[name])
-    return spark.sql(text, **used)
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", bind, texts[name]), **used)
 
 
-def with_views(sql: str, *names: str) -> str:
+def with_views(sql: str, *names: str, texts: dict[str, str] = VIEWS) -> str:
     """A SQL statement over some of the views."""
-    texts = [f"{n} AS ({VIEWS[n].replace('AS STRING)', 'AS VARCHAR)')})" for n in names]
-    return f"WITH RECURSIVE {', '.join(texts)}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
+    views = [f"{n} AS ({texts[n].replace('AS STRING)', 'AS VARCHAR)')})" for n in names]
+    return f"WITH RECURSIVE {', '.join(views)}{sql if sql.lstrip().startswith(',') else ' ' + sql}"

@@ -1,4 +1,7 @@
-"""Queries of code analysis on the small code corpus: classification, caveats, ranking, links between families."""
+"""Queries of code analysis on the star schema read as facts: classification, caveats, ranking, links between families.
+
+Each is also kept on the small code corpus of code_corpus.py, whose goldens the tests hold.
+"""
 
 from __future__ import annotations
 
@@ -11,20 +14,31 @@ from lodestone.functions.scalars import unquote
 from lodestone.operators import rank as R
 from lodestone.operators import rules as C
 
+from lodestone.storage import cut
+
+from . import factview
 from .code_corpus import CUES, facts, with_facts
+from .codeview import view, with_views
 from .registry import ORACLE, QUERIES
 
+#: The same functions and SQL on the small corpus, for tests.
+FIXED: dict[str, Callable[[SparkSession], DataFrame]] = {}
+FIXED_SQL: dict[str, str] = {}
+
 
-def on_facts(sql: str, *names: str) -> Callable:
-    """Registers a function of the named facts; sql may use the same names."""
+def on_facts(sql: str, *names: str, often: bool = False) -> Callable:
+    """Registers a function of the named facts over the star schema; sql may use the same names. often: the facts are read many times, so they are written once."""
 
     def put(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*[facts(spark, n) for n in names])
+            views = [view(spark, sf_dir, n, factview.VIEWS) for n in names]
+            return f(*(map(cut, views) if often else views))
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
-        ORACLE[f.__name__] = with_facts(sql, *names)
+        ORACLE[f.__name__] = with_views(sql, *names, texts=factview.VIEWS)
+        FIXED[f.__name__] = lambda spark: f(*[facts(spark, n) for n in names])
+        FIXED_SQL[f.__name__] = with_facts(sql, *names)
         return f
 
     return put
@@ -61,13 +75,13 @@ def _split(prims: DataFrame) -> DataFrame:
     return prims.withColumn("decorators", F.split("decorators", ","))
 
 
-@on_facts(CLASSIFIED + "SELECT id, kind, rule_order, conflicts FROM decided", "prims", "code_edges")
+@on_facts(CLASSIFIED + "SELECT id, kind, rule_order, conflicts FROM decided", "prims", "code_edges", often=True)
 def classify_code(prims: DataFrame, edges: DataFrame) -> DataFrame:
     """CLS-01 to CLS-08: seven rules in order, seeded by extractors' kinds, with conflicts."""
     return C.classify_corpus(_split(prims), edges, CUES)
 
 
-@on_facts(CLASSIFIED + "SELECT p.id, coalesce(d.kind, p.kind, 'none') AS kind FROM prims p LEFT JOIN decided d ON d.id = p.id AND p.primitive = 'function'", "prims", "code_edges")
+@on_facts(CLASSIFIED + "SELECT p.id, coalesce(d.kind, p.kind, 'none') AS kind FROM prims p LEFT JOIN decided d ON d.id = p.id AND p.primitive = 'function'", "prims", "code_edges", often=True)
 def effective_kinds(prims: DataFrame, edges: DataFrame) -> DataFrame:
     """CLS-10: a function's decision, else the extractor's kind, else none."""
     decided = C.classify_corpus(_split(prims), edges, CUES).select("id", F.col("kind").alias("decided"))
@@ -83,6 +97,7 @@ c AS (SELECT p.id, 'pydantic_refs_not_extracted' AS caveat FROM prims p JOIN hei
 SELECT id, string_agg(caveat, ',' ORDER BY caveat) AS caveats FROM c GROUP BY id""",
     "prims",
     "code_edges",
+    often=True,
 )
 def code_caveats(prims: DataFrame, edges: DataFrame) -> DataFrame:
     """CLS-09: the three detectors, stamped on each primitive."""
@@ -124,7 +139,7 @@ def _ranking(name: str, doc: str, make: Callable) -> None:
 
     run.__name__, run.__doc__ = name, doc
     sql = SIGNALS.get(name) or " UNION ALL ".join(SIGNALS.values())
-    on_facts(COVERED + _OUT + sql + ") s", *RANK_FACTS)(run)
+    on_facts(COVERED + _OUT + sql + ") s", *RANK_FACTS, often=True)(run)
 
 
 _ranking("rank_rule_shape", "PRC-A: rules whose claims span kinds.", lambda c, n, e, own: R.rule_shape(c, n, own))

@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def _at(spark: SparkSession, path: str):
+def at_path(spark: SparkSession, path: str):
     """A path and its file system, in the JVM."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -34,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where, system = _at(spark, path)
+    where, system = at_path(spark, path)
     system.deleteOnExit(where)
     table = spark.read.schema(df.schema).parquet(path)
     table._cut_at = path
@@ -44,5 +44,5 @@ def cut(df: DataFrame) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Deletes tables that cut() returned, once nothing will read them again."""
     for table in tables:
-        where, system = _at(table.sparkSession, table._cut_at)
+        where, system = at_path(table.sparkSession, table._cut_at)
         system.delete(where, True)

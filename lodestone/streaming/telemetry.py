@@ -49,6 +49,49 @@ def refresh(stream: DataFrame, known: Callable[[], DataFrame], work: Callable[[D
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class _Latest:
+    """Per key, the hash that was last worked on; passes a row on only if its hash is another. Forgets keys after a rest."""
+
+    def __init__(self, rest_ms: int) -> None:
+        self.rest_ms = rest_ms
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("hash", "hash string", ttlDurationMs=self.rest_ms)
+
+    def handleInputRows(self, key, rows, timer_values):
+        import pandas as pd
+
+        # Of a batch's versions of a key the last one counts.
+        last, known = None, self.held.get()[0] if self.held.exists() else None
+        for pdf in rows:
+            top = pdf.sort_values(["ts", "content_hash"]).iloc[-1]
+            if last is None or (top["ts"], top["content_hash"]) > (last["ts"], last["content_hash"]):
+                last = top
+        if last["content_hash"] != known:
+            self.held.update((last["content_hash"],))
+            yield pd.DataFrame({"node_id": [key[0]], "content_hash": [last["content_hash"]], "ts": [last["ts"]], "text": [last["text"]], "was": [known]})
+
+    def handleInitialState(self, key, initial, timer_values) -> None:
+        self.held.update((initial["content_hash"].iloc[0],))
+
+    def close(self) -> None:
+        pass
+
+
+def changed(versions: DataFrame, known: DataFrame | None = None, rest: int = 0) -> DataFrame:
+    """node_id, content_hash, ts, text, was: versions (node_id, content_hash, ts, text) whose hash differs from the one last seen of the node.
+
+    State is a value a node, kept by Spark in its state store and in the checkpoint, so a restarted query goes on where it ended and no batch
+    reads what earlier ones knew. known (node_id, content_hash) is the state to begin with, an earlier index; rest is after how many milliseconds a
+    node that is not seen is forgotten (0: never), which bounds the state. Needs the RocksDB state store.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    processor = type("Latest", (_Latest, StatefulProcessor), {})(rest)
+    start = known.groupBy("node_id") if known is not None else None
+    return versions.groupBy("node_id").transformWithStateInPandas(processor, "node_id long, content_hash string, ts timestamp, text string, was string", "update", "processingTime" if rest else "none", start)
+
+
 def drain(df: DataFrame, folder: str, checkpoint: str) -> None:
     """Writes all that is there to a parquet sink and returns."""
     df.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

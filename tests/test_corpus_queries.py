@@ -4,29 +4,28 @@ import pytest
 
 from lodestone.operators import rank as R
 from lodestone.operators import rules as C
-from lodestone.plans import corpus_queries
 from lodestone.plans.code_corpus import CUES, FACTS, facts
-from lodestone.plans.registry import ORACLE, QUERIES
+from lodestone.plans.corpus_queries import FIXED, FIXED_SQL
 
-NAMES = [n for n in vars(corpus_queries) if n in QUERIES and n in ORACLE] + [n for n in QUERIES if n.startswith("rank_")]
+NAMES = sorted(FIXED)
 
 
 def test_facts_fit_their_columns():
     assert all(len(r) == len(schema.split(", ")) for rows, schema in FACTS.values() for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(NAMES)))
+@pytest.mark.parametrize("name", NAMES)
 def test_rows_equal_sql(spark, name):
     import duckdb
 
-    got = QUERIES[name](spark, "")
+    got = FIXED[name](spark)
     columns = sorted(got.columns)
     mine = sorted(tuple(str(v) for v in r) for r in got.select(*columns).collect())
-    assert mine and mine == sorted(tuple(str(v) for v in r) for r in duckdb.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE[name]}) x").fetchall())
+    assert mine and mine == sorted(tuple(str(v) for v in r) for r in duckdb.sql(f"SELECT {', '.join(columns)} FROM ({FIXED_SQL[name]}) x").fetchall())
 
 
 def test_kinds(spark):
-    got = {r.id.rpartition("::")[2]: (r.kind, r.conflicts) for r in QUERIES["classify_code"](spark, "").collect()}
+    got = {r.id.rpartition("::")[2]: (r.kind, r.conflicts) for r in FIXED["classify_code"](spark).collect()}
     assert got["test_create"] == ("test", "endpoint") and got["probe"] == ("test", "") and got["session"] == ("test", "")
     assert got["helper"] == (None, "") and got["useOrders"] == ("hook", "") and got["Panel.useRow"] == ("hook", "") and got["useLess"] == ("util", "")
     assert got["Orders"] == ("component", "") and got["render"] == (None, "")
@@ -39,7 +38,7 @@ def test_kinds(spark):
 
 
 def test_caveats_follow_bases(spark):
-    got = {r.id.rpartition("::")[2]: r.caveats for r in QUERIES["code_caveats"](spark, "").collect()}
+    got = {r.id.rpartition("::")[2]: r.caveats for r in FIXED["code_caveats"](spark).collect()}
     assert got["SubSub"] == "pydantic_refs_not_extracted" and "Order" not in got
     assert got["create"] == "fastapi_depends_chain_not_traced,typed_receiver_unresolved"
 
@@ -53,7 +52,7 @@ def test_empty_corpus(spark):
 
 
 def test_signals_all_speak_and_covered_are_silent(spark):
-    rows = QUERIES["rank_union"](spark, "").collect()
+    rows = FIXED["rank_union"](spark).collect()
     assert {r.signal.split("_on_")[0] for r in rows} == {"rule_shape_mismatch", "entrypoint_fan_in", "endpoint_forward_reach", "convergence", "page_initiated_flow", "hook_initiated_flow", "headless_initiated_flow"}
     covered = {r.id for r in R.covered_ids(*[facts(spark, n) for n in ("steps", "flows", "code_nodes", "links")]).collect()}
     assert {"use::5", "DELETE::/api/a3", "POST::/api/a7", "svc::2"} <= covered and not covered & {r.anchor for r in rows}

@@ -207,3 +207,13 @@ def test_streams_equal_batches(spark, tmp_path):
     i, a = batch.where("kind = 'injection'"), batch.where("kind = 'acknowledgment'")
     want = i.alias("i").join(a.alias("a"), F.expr("i.node_id = a.node_id AND a.ts BETWEEN i.ts AND i.ts + INTERVAL 6 HOURS")).select("i.event_id", F.col("a.event_id").alias("ack_id"))
     assert got == {(r.event_id, r.ack_id) for r in want.collect()} and got
+
+
+def test_closure_of_a_long_chain_takes_few_hops(spark, monkeypatch):
+    hops = []
+    counted = traverse._counted
+    monkeypatch.setattr(traverse, "_counted", lambda df: hops.append(1) or counted(df))
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(2000)] + [("n7", "x"), ("x", "n3"), ("n2000", "n1990"), ("z0", "z1"), ("z1", "z0")]
+    got = {r.node for r in traverse.closure(ids(spark, "n0"), edges(spark, pairs)).collect()}
+    assert got == {f"n{i}" for i in range(2001)} | {"x"} and len(hops) < 60
+    assert {r.node for r in traverse.closure(ids(spark, "n0"), edges(spark, pairs), ids(spark, "n1500")).collect()} == {f"n{i}" for i in range(1500)} | {"x"}
