@@ -5,8 +5,9 @@ ANDs its slots and yields all languages that contain it. Per language, the popco
 corrected for the filter's false positives, and the largest corrected share decides.
 
 The n-grams (3 and 4 letters, words joined by one space, lower case) are learned from a bounded sample of different labelled texts (about SAMPLE a
-language, those with the least hashes); the filter's size is fixed (2**SLOTS_LOG2 slots), so the model does not
-grow with the corpus. Defined cases: a null text, or one without a letter, is "und" with score 0; without any
+language, those with the least hashes); the filter has 2**SLOTS_LOG2 slots of as many words as the languages need (WORD each,
+at most MAX_LANGUAGES languages, those with most labelled rows), so the model does not grow with the corpus. An n-gram must stand in MIN_DF texts of a language, in fewer where the
+language has few: in a quarter of them. Defined cases: a null text, or one without a letter, is "und" with score 0; without any
 labelled row all texts are "und"; ties go to the first language in order; texts of any length are used whole;
 repeated rows each get a row, but a text is learned from once; empty tables give empty results.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 SAMPLE, SLOTS_LOG2, HASHES, ORDERS, MIN_DF = 1000, 21, 2, (3, 4), 3
 #: A language holds an n-gram only if its rate there is at least this part of its highest rate in any language.
 RATIO = 0.5
-MAX_LANGUAGES = 62
+#: Languages to a word of the masks, and in all: those with most labelled texts.
+WORD, MAX_LANGUAGES = 62, 992
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: What \w holds beside letters, digits and _: numbers like one half or Roman eight. Built by that rule.
 _NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
@@ -62,9 +64,10 @@ def slots(h: np.ndarray, log2: int, hashes: int) -> list[np.ndarray]:
 def fit(docs: DataFrame, sample: int = SAMPLE, log2: int = SLOTS_LOG2, min_df: int = MIN_DF) -> dict:
     """languages and the table of bitmasks, from the labelled rows of docs (text, lang)."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    names = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # At most MAX_LANGUAGES rows.
+    names = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    place = docs.sparkSession.createDataFrame([(n, i // WORD, 1 << (i % WORD)) for i, n in enumerate(names)], "lang string, word int, bit long")
+    known = known.join(F.broadcast(place.select("lang")), "lang", "left_semi")
     # Of each language's different texts those with the least hashes, by a cut-off from their number: no group is ever ranked in one task.
     known = known.withColumn("th", F.xxhash64(F.lit(1), "text"))
     texts = known.select("lang", "th").distinct()
@@ -85,25 +88,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE, log2: int = SLOTS_LOG2, min_df: i
             yield pd.DataFrame([(g, lang, k) for (g, lang), k in df.items()], columns=["gram", "lang", "df"])
 
     each = rows.select("text", "lang").mapInPandas(count, "gram long, lang string, df long").groupBy("gram", "lang").agg(F.sum("df").alias("df"))
-    sizes = {r.lang: r.df for r in each.where("gram = 0").collect()}
-    rate = F.col("df") / F.element_at(F.create_map(*[F.lit(x) for kv in (sizes or {"": 1}).items() for x in kv]), F.col("lang"))
-    most = each.where("gram <> 0").withColumn("rate", rate).groupBy("gram").agg(F.collect_list(F.struct("lang", "df", "rate")).alias("in"), F.max("rate").alias("most"))
-    bit = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names or [""]) for x in (n, 1 << i)]), F.col("x.lang"))
-    held = most.select("gram", "most", F.explode("in").alias("x")).where((F.col("x.df") >= min_df) & (F.col("x.rate") >= RATIO * F.col("most")))
-    held = held.groupBy("gram").agg(F.bit_or(bit.cast("long")).alias("mask"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # One row a language.
+    sizes = each.where("gram = 0").select("lang", F.col("df").alias("n")).join(F.broadcast(place), "lang")
+    rated = each.where("gram <> 0").join(F.broadcast(sizes), "lang").withColumn("rate", F.col("df") / F.col("n"))
+    most = rated.groupBy("gram").agg(F.collect_list(F.struct("df", "n", "rate", "word", "bit")).alias("in"), F.max("rate").alias("most"))
+    enough = F.col("x.df") >= F.least(F.lit(min_df), F.ceil(F.col("x.n") / 4))
+    held = most.select("gram", "most", F.explode("in").alias("x")).where(enough & (F.col("x.rate") >= RATIO * F.col("most")))
+    held = held.groupBy("gram", F.col("x.word").alias("word")).agg(F.bit_or("x.bit").alias("mask"))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = slots(pdf["gram"].to_numpy().view(np.uint64), log2, HASHES)
-            yield pd.DataFrame({"slot": np.concatenate(at).astype(np.int64), "mask": np.tile(pdf["mask"].to_numpy(), HASHES)})
+            yield pd.DataFrame({"word": np.tile(pdf["word"].to_numpy(), HASHES), "slot": np.concatenate(at).astype(np.int64), "mask": np.tile(pdf["mask"].to_numpy(), HASHES)})
 
-    # At most 2**log2 rows come back, whatever the corpus.
-    got = held.mapInPandas(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    # At most 2**log2 rows a word come back, whatever the corpus.
+    got = held.mapInPandas(spread, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
     width = np.uint8 if len(names) <= 8 else np.uint64
-    bits = np.zeros(1 << log2, dtype=width)
-    bits[got["slot"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64).astype(width)
+    bits = np.zeros((max(1, -(-len(names) // WORD)), 1 << log2), dtype=width)
+    bits[got["word"].to_numpy(dtype=np.int64), got["slot"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64).astype(width)
     # A plane's chance of a false positive: all of a gram's slots set by others.
-    fill = [float(((bits >> width(i)) & width(1)).mean()) for i in range(len(names))]
+    fill = [float(((bits[i // WORD] >> width(i % WORD)) & width(1)).mean()) for i in range(len(names))]
     return {"languages": names, "bits": bits, "log2": log2, "false": [f**HASHES for f in fill]}
 
 
@@ -113,15 +117,18 @@ def decide(text: str | None, model: dict) -> tuple[str, float, float]:
     if not len(h) or not model["languages"]:
         return "und", 0.0, 0.0
     at = slots(h, model["log2"], HASHES)
-    mask = model["bits"][at[0].astype(np.int64)]
-    for a in at[1:]:
-        mask = mask & model["bits"][a.astype(np.int64)]
-    n = len(h)
-    if mask.dtype == np.uint8:
-        by = np.bincount(mask, minlength=256)
-        hits = [int(by[np.arange(256) >> i & 1 == 1].sum()) for i in range(len(model["languages"]))]
-    else:
-        hits = [int((mask >> np.uint64(i) & np.uint64(1)).sum()) for i in range(len(model["languages"]))]
+    at = [a.astype(np.int64) for a in at]
+    n, hits = len(h), []
+    for first, bits in enumerate(model["bits"]):
+        mask = bits[at[0]]
+        for a in at[1:]:
+            mask = mask & bits[a]
+        some = min(WORD, len(model["languages"]) - first * WORD)
+        if mask.dtype == np.uint8:
+            by = np.bincount(mask, minlength=256)
+            hits += [int(by[np.arange(256) >> i & 1 == 1].sum()) for i in range(some)]
+        else:
+            hits += [int((mask >> np.uint64(i) & np.uint64(1)).sum()) for i in range(some)]
     share = np.array([max(0.0, (x / n - f) / (1 - f)) if f < 1 else 0.0 for x, f in zip(hits, model["false"])])
     best = int(share.argmax())
     total = float(share.sum())
