@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,19 @@ def at_path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+_recording: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recorded(into: list[DataFrame]) -> Iterator[None]:
+    """Notes the tables that cut() writes meanwhile, so that a caller can release them all at once."""
+    _recording.append(into)
+    try:
+        yield
+    finally:
+        _recording.remove(into)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder and read back: lineage ends here, and lost executors cost nothing.
 
@@ -38,11 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     system.deleteOnExit(where)
     table = spark.read.schema(df.schema).parquet(path)
     table._cut_at = path
+    for tables in _recording:
+        tables.append(table)
     return table
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes tables that cut() returned, once nothing will read them again."""
+    """Deletes tables that cut() returned, once nothing will read them again; those that are gone already do not matter."""
     for table in tables:
         where, system = at_path(table.sparkSession, table._cut_at)
         system.delete(where, True)
