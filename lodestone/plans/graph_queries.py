@@ -220,7 +220,8 @@ def inbound_drift(spark: SparkSession, d: str) -> DataFrame:
 
 shared("review_queue_prev_next", f"WITH {TIERED_Q} SELECT id, row_number() OVER (PARTITION BY kind, repo ORDER BY inbound_count DESC, id) AS place, lag(id) OVER (PARTITION BY kind, repo ORDER BY inbound_count DESC, id) AS prev, lead(id) OVER (PARTITION BY kind, repo ORDER BY inbound_count DESC, id) AS nxt FROM tiered WHERE tier <> 'C'")
 shared("per_kind_cap", "SELECT src, kind, dst, r FROM (SELECT src, kind, dst, row_number() OVER (PARTITION BY src, kind ORDER BY dst) AS r FROM {edges}) x WHERE r <= 5")
-shared("per_kind_summary", f"WITH {TIERED_Q} SELECT kind, id, inbound_count, n FROM (SELECT kind, id, inbound_count, row_number() OVER (PARTITION BY kind ORDER BY inbound_count DESC, id) AS r, count(*) OVER (PARTITION BY kind) AS n FROM tiered) x WHERE r <= 3")
+# The count is an aggregate of its own: beside row_number it would keep Spark from limiting groups before the shuffle.
+shared("per_kind_summary", f"WITH {TIERED_Q} SELECT x.kind, id, inbound_count, n FROM (SELECT kind, id, inbound_count, row_number() OVER (PARTITION BY kind ORDER BY inbound_count DESC, id) AS r FROM tiered) x JOIN (SELECT kind, count(*) AS n FROM {{nodes}} GROUP BY kind) c ON c.kind = x.kind WHERE r <= 3", f"WITH {TIERED_Q} SELECT kind, id, inbound_count, n FROM (SELECT kind, id, inbound_count, row_number() OVER (PARTITION BY kind ORDER BY inbound_count DESC, id) AS r, count(*) OVER (PARTITION BY kind) AS n FROM tiered) x WHERE r <= 3")
 shared("dossier_rank_topk", f"WITH {TIERED_Q}, recent AS (SELECT 'customer::' || o_custkey AS id, count(*) AS commits FROM {{orders}} WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' GROUP BY o_custkey) SELECT t.id, t.inbound_count + 2 * coalesce(r.commits, 0) AS score FROM tiered t LEFT JOIN recent r ON r.id = t.id WHERE t.kind IN ('customer', 'supplier') ORDER BY score DESC, t.id LIMIT 50")
 shared("hottest3", "SELECT node_id, count(*) AS n FROM {telemetry} WHERE kind = 'injection' GROUP BY node_id ORDER BY n DESC, node_id LIMIT 3")
 shared("repo_gallery_order", "SELECT repo, count(*) AS node_count, row_number() OVER (ORDER BY count(*) DESC, repo) AS place FROM {nodes} GROUP BY repo")

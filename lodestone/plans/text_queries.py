@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import commands
 from lodestone.functions import scalars as S
-from lodestone.operators import ddl, search
+from lodestone.operators import ddl, search, timejoin
 from lodestone.session import table
 
 from . import graphview as G
@@ -37,19 +37,32 @@ shared("moving_injections_7d", "SELECT day, n, sum(n) OVER (ORDER BY day ROWS BE
 shared("trend_lag", "SELECT day, kind, n, n - lag(n) OVER (PARTITION BY kind ORDER BY day) AS delta FROM (SELECT date_trunc('day', ts) AS day, kind, count(*) AS n FROM {telemetry} GROUP BY date_trunc('day', ts), kind) x")
 shared("latest_op", "SELECT node_id, kind, ts, event_id FROM (SELECT node_id, kind, ts, event_id, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, event_id DESC) AS r FROM {telemetry}) x WHERE r = 1")
 shared("first_visit", "SELECT user_id, event_id, ts FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM {events}) x WHERE r = 1")
-shared("session_acks", "SELECT i.node_id, i.event_id, count(a.event_id) AS acks, min(a.ts) AS first_ack FROM {telemetry} i LEFT JOIN {telemetry} a ON a.node_id = i.node_id AND a.kind = 'acknowledgment' AND a.ts >= i.ts AND a.ts <= i.ts + INTERVAL '6' HOUR WHERE i.kind = 'injection' GROUP BY i.node_id, i.event_id")
-shared("interval_join_events", "SELECT a.event_id, b.event_id AS other FROM {events} a JOIN {events} b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '10' MINUTE WHERE a.event_type = 'error'")
+@query("SELECT i.node_id, i.event_id, count(a.event_id) AS acks, min(a.ts) AS first_ack FROM telemetry i LEFT JOIN telemetry a ON a.node_id = i.node_id AND a.kind = 'acknowledgment' AND a.ts >= i.ts AND a.ts <= i.ts + INTERVAL '6' HOUR WHERE i.kind = 'injection' GROUP BY i.node_id, i.event_id")
+def session_acks(spark: SparkSession, d: str) -> DataFrame:
+    """STM-02: injections and the acknowledgments of the six hours after them."""
+    t = G.telemetry(spark, d)
+    i, a = t.where("kind = 'injection'").select("node_id", "event_id", "ts"), t.where("kind = 'acknowledgment'").select("node_id", F.col("event_id").alias("ack_id"), F.col("ts").alias("ack_ts"))
+    met = timejoin.within(i, a, "node_id", "ts", "ack_ts", 6 * 3600).groupBy("event_id").agg(F.count("*").alias("acks"), F.min("ack_ts").alias("first_ack"))
+    return i.join(met, "event_id", "left").select("node_id", "event_id", F.coalesce("acks", F.lit(0)).alias("acks"), "first_ack")
+
+
+@query("SELECT a.event_id, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '10' MINUTE WHERE a.event_type = 'error'")
+def interval_join_events(spark: SparkSession, d: str) -> DataFrame:
+    """STM-02: what a user does in the ten minutes after an error."""
+    e = table(spark, d, "events")
+    errors = e.where("event_type = 'error'").select("user_id", "event_id", "ts")
+    return timejoin.within(errors, e.select("user_id", F.col("event_id").alias("other"), F.col("ts").alias("other_ts")), "user_id", "ts", "other_ts", 600, strict=True).select("event_id", "other")
+
+
 shared("daily_first_ack", "SELECT node_id, date_trunc('day', ts) AS day, min(event_id) AS event_id FROM {telemetry} WHERE kind = 'acknowledgment' GROUP BY node_id, date_trunc('day', ts)")
 
 
 @query("SELECT a.event_id, (SELECT max(b.ts) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.ts <= a.ts) AS last_view FROM events a WHERE a.event_type = 'purchase'")
 def asof_events(spark: SparkSession, d: str) -> DataFrame:
-    """As-of join: the last view before each purchase, by one ordered window over both."""
-    from pyspark.sql import Window as W
-
-    e = table(spark, d, "events").where(F.col("event_type").isin("view", "purchase"))
-    seen = F.max(F.when(F.col("event_type") == "view", F.col("ts"))).over(W.partitionBy("user_id").orderBy("ts").rangeBetween(W.unboundedPreceding, W.currentRow))
-    return e.withColumn("last_view", seen).where("event_type = 'purchase'").select("event_id", "last_view")
+    """As-of join: the last view before each purchase, a day at a time."""
+    e = table(spark, d, "events").where(F.col("event_type").isin("view", "purchase")).select("user_id", "event_id", "event_type", "ts")
+    seen = timejoin.last_before(e, "user_id", "ts", F.col("event_type") == "view", "last_view")
+    return seen.where("event_type = 'purchase'").select("event_id", "last_view")
 
 
 @query("SELECT user_id, min(ts) AS began, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL '6' HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) x) y GROUP BY user_id, s")
