@@ -58,19 +58,34 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, key: str, k: int) -> DataFra
     return both.crossJoin(F.broadcast(top)).select(key, F.bround(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
+#: Where a window may end: behind a paragraph's break, else behind a sentence's period; each with how much of the mark counts for its place.
+BORDERS = (("\n\n", 0), (". ", 1))
+
+
+def _end(text: str, at: int, size: int) -> int:
+    """Where the window that begins at a place ends: at the last border of its second half, the better kind first, else when it is full."""
+    full = at + size
+    if full >= len(text):
+        return len(text)
+    for mark, counts in BORDERS:
+        found = text.rfind(mark, at, full)
+        if found >= 0 and found + counts >= at + size // 2:
+            return found + len(mark) - counts
+    return full
+
+
+def spans(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
+    """The windows of a text as (begin, end); each begins `overlap` before the last one's end, and the last one ends with the text."""
+    begin, end = 0, 0
+    while end < len(text):
+        begin = max(end - overlap, begin + 1) if end else 0
+        end = _end(text, begin, size)
+        yield begin, end
+
+
 def chunk(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     """Overlapping windows that end after a paragraph's break, or else a sentence's period, if either stands in their second half."""
-    out, at, n = [], 0, len(text)
-    while at < n:
-        end = min(at + size, n)
-        if end < n:
-            breaks = ((text.rfind(mark, at, end), before, after) for mark, before, after in (("\n\n", 0, 2), (". ", 1, 1)))
-            end = next((p + after for p, before, after in breaks if p >= 0 and p + before - at >= size // 2), end)
-        out.append(text[at:end])
-        if end >= n:
-            break
-        at = max(end - overlap, at + 1)
-    return out
+    return [text[a:b] for a, b in spans(text, size, overlap)]
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

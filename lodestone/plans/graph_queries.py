@@ -135,7 +135,7 @@ def health_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n.repo, n.path, c.owner_id, count(*) AS n_claims FROM claims c JOIN nodes n ON n.id = c.target GROUP BY n.repo, n.path, c.owner_id")
 def claims_by_file(spark: SparkSession, d: str) -> DataFrame:
-    """JON-08, JON-24, JON-25: owners of claims by file."""
+    """JON-08, JON-24: owners of claims by file."""
     at = G.nodes(spark, d).select(F.col("id").alias("target"), "repo", "path")
     return G.claims(spark, d).join(at, "target").groupBy("repo", "path", "owner_id").agg(F.count("*").alias("n_claims"))
 
@@ -164,7 +164,7 @@ def dead_code_anti(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c.owner_id, c.target FROM claims c WHERE c.target LIKE 'customer::%' AND EXISTS (SELECT 1 FROM nodes m WHERE m.kind = 'customer') AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.id = c.target)")
 def domain_orphans_semi_anti(spark: SparkSession, d: str) -> DataFrame:
-    """JON-28, JON-29: claims in a kind that has a manifest (semi) without being in it (anti)."""
+    """JON-28: claims in a kind that has a manifest (semi) without being in it (anti)."""
     n = G.nodes(spark, d)
     claim = G.claims(spark, d).where("target LIKE 'customer::%'").withColumn("kind", F.split_part("target", F.lit("::"), F.lit(1)))
     return claim.join(n.select("kind").distinct(), "kind", "left_semi").join(n.select(F.col("id").alias("target")), "target", "left_anti").select("owner_id", "target")

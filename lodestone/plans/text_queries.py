@@ -161,7 +161,7 @@ shared("day_bucket", f"SELECT event_id, date_trunc('day', ts) AS day, datediff(D
     " FROM (SELECT conv_id, CASE (conv_id + turn) % 5 WHEN 0 THEN 'Fix(core): ' WHEN 1 THEN 'revert ' WHEN 2 THEN 'prefix ' ELSE '' END || text AS s FROM conversations) x GROUP BY conv_id"
 )
 def keyword_signals(spark: SparkSession, d: str) -> DataFrame:
-    """STR-13, STR-17: what the subjects of a history tell (turns stand in for commits, conversations for files)."""
+    """STR-13: what the subjects of a history tell (turns stand in for commits, conversations for files)."""
     k = (F.col("conv_id") + F.col("turn")) % 5
     s = F.concat(F.when(k == 0, "Fix(core): ").when(k == 1, "revert ").when(k == 2, "prefix ").otherwise(""), F.col("text"))
     said = table(spark, d, "conversations").select("conv_id", s.alias("s")).groupBy("conv_id")
@@ -175,7 +175,7 @@ def keyword_signals(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_extract(s, '^(feat|fix|review|flag|unflag|chore|docs|refactor)(?:\\([^)]*\\))?:\\s*', 1) = '' THEN 'edit' ELSE regexp_extract(s, '^(feat|fix|review|flag|unflag|chore|docs|refactor)(?:\\([^)]*\\))?:\\s*', 1) END AS action FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'fix(core): ' WHEN 1 THEN 'docs: ' ELSE '' END || text AS s FROM conversations) x")
 def commit_actions(spark: SparkSession, d: str) -> DataFrame:
-    """STR-10, STR-11."""
+    """STR-10."""
     k = F.col("turn") % 3
     s = F.concat(F.when(k == 0, "fix(core): ").when(k == 1, "docs: ").otherwise(""), F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", S.commit_action(s).alias("action"))
@@ -242,7 +242,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(BM25 + COS + " SELECT doc_id, round_even(0.4e0 * CASE WHEN mb > 0 THEN coalesce(bm25, 0) / mb ELSE 0 END + 0.6e0 * CASE WHEN mc > 0 THEN coalesce(cosine, 0) / mc ELSE 0 END, 6) AS score FROM (SELECT coalesce(doc_id, vec_id) AS doc_id, bm25, cosine, max(bm25) OVER () AS mb, max(cosine) OVER () AS mc FROM lex FULL JOIN cosv ON doc_id = vec_id) x WHERE round_even(0.4e0 * CASE WHEN mb > 0 THEN coalesce(bm25, 0) / mb ELSE 0 END + 0.6e0 * CASE WHEN mc > 0 THEN coalesce(cosine, 0) / mc ELSE 0 END, 6) > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    """TXT-03, SET-02: the blend of both."""
+    """TXT-03: the blend of both."""
     lex = search.bm25(table(spark, d, "documents"), QUERY)
     vec = search.cosine(table(spark, d, "embeddings"), _query_vector(spark, d)).withColumnRenamed("vec_id", "doc_id")
     return search.hybrid(lex, vec, "doc_id", 20)
@@ -250,7 +250,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, CASE WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'en') THEN 'carried' ELSE 'embed' END AS status FROM documents")
 def embed_carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    """VEC-02, VEC-03, STM-06: what an incremental embedding has to do."""
+    """VEC-02: what an incremental embedding has to do."""
     docs = table(spark, d, "documents")
     new = docs.select("doc_id", search.content_hash("text").alias("content_hash"))
     return search.carry_forward(new, docs.where("lang = 'en'").select(search.content_hash("text").alias("content_hash")))

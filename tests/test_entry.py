@@ -23,7 +23,7 @@ def test_entry_has_rows(spark):
     assert e.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["impact_depth3", "fan_in_tier", "claims_stale_orphan", "classify_with_conflicts", "dependents_capped", "budgeted_blocks", "recent_issues", "structural_hashes", "first_paragraphs", "telemetry_stats", "mediation_collision", "bm25_topk", "hybrid_topk", "asof_events", "session_window", "reexport_closure", "base_classes", "call_edges", "receiver_types", "db_access", "domain_anchors", "schema_violations", "partition_changes", "classify_code", "code_caveats", "rank_union", "enforced_in_processes", "claims_nested"])
+@pytest.mark.parametrize("name", ["impact_depth3", "fan_in_tier", "claims_stale_orphan", "classify_with_conflicts", "dependents_capped", "budgeted_blocks", "recent_issues", "structural_hashes", "first_paragraphs", "telemetry_stats", "mediation_collision", "bm25_topk", "hybrid_topk", "asof_events", "session_window", "reexport_closure", "base_classes", "call_edges", "receiver_types", "db_access", "domain_anchors", "schema_violations", "partition_changes", "classify_code", "code_caveats", "rank_union", "enforced_in_processes", "claims_nested", "find_nodes", "find_rules", "merged_cues", "refreshed_rows", "session_acks", "interval_join_events", "per_kind_summary"])
 def test_rows_equal_sql(spark, name):
     import duckdb
 

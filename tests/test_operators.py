@@ -217,3 +217,23 @@ def test_closure_of_a_long_chain_takes_few_hops(spark, monkeypatch):
     got = {r.node for r in traverse.closure(ids(spark, "n0"), edges(spark, pairs)).collect()}
     assert got == {f"n{i}" for i in range(2001)} | {"x"} and len(hops) < 60
     assert {r.node for r in traverse.closure(ids(spark, "n0"), edges(spark, pairs), ids(spark, "n1500")).collect()} == {f"n{i}" for i in range(1500)} | {"x"}
+
+
+@pytest.mark.parametrize(("command", "want"), [
+    ("nohup rm -rf build", ["rm with -r/-f flags"]), ("env A=1 -u B git push", ["git push (real, not dry-run)"]), ("sudo -u root env X=y git reset --hard", ["sudo (privileged execution)", "git reset --hard"]),
+    ("timeout -k 1 5 rm -f a", ["rm with -r/-f flags"]), ("nice -n 5 npm publish", ["npm publish"]), ("sudo -u", ["sudo (privileged execution)"]), ("env rm", []), ("ls | xargs -n 1 rm -f", ["rm with -r/-f flags"]),
+])
+def test_wrapped_commands(command, want):
+    from lodestone.functions import commands
+
+    assert commands.findings(command) == want
+
+
+def test_numbers_are_dense_whatever_the_ranges(spark):
+    from lodestone.operators import numbering
+
+    rows = [(i * 7 % 101, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, i int")
+    got = {(x.k, x.i): x.row for x in numbering.numbered(df, "k", "i").collect()}
+    assert got == {r: n for n, r in enumerate(sorted(rows))}
+    assert numbering.numbered(df.limit(0), "k").count() == 0
