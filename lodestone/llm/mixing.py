@@ -6,7 +6,7 @@ a source's quota counts the units that meet its target: all blocks of its whole
 A balanced tree over the output shards splits the quotas: at each node the left half's count of units of every source
 is one multivariate hypergeometric draw from what the node holds, so every leaf gets an exact count and all counts sum to
 the quota. A source's units in permuted order are then cut at the cumulated leaf counts (disjoint draws): what a leaf
-draws is taken, as often as leaves draw it, and goes to that leaf's shard, where rows are ordered by hash.
+draws is taken, as often as leaves draw it (in a source's last block document by document, and one document more of the source where that comes nearer to the target), and goes to that leaf's shard, where rows are ordered by hash.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in
 order; empty tables give empty results; rows alike in their plain columns are drawn together; a text of any length is
@@ -93,7 +93,7 @@ def _drawn(docs: DataFrame, source: str = "source", text: str = "text", share: f
 
     share is the mix's size as a part of all words; weights repeat over the sources by code point, null last.
     A document is taken whole: 0, 1 or cap times at most. In the one block that would overrun a target, documents
-    are taken one by one while they still fit.
+    are taken one by one while they still fit; then the one document of the source that closes best what is still missing.
     """
     spark = docs.sparkSession
     slim = cut(_keyed(docs, source, text, seed).select("mix_key", "mix_row", "mix_size"))
@@ -125,13 +125,26 @@ def _drawn(docs: DataFrame, source: str = "source", text: str = "text", share: f
     drawn = F.filter(F.transform(F.sequence(F.lit(0), F.col("passes") + 1), leaf), lambda s: s < shards)
     blocks = sums.join(small(cuts), "mix_key").join(small(spec.select("mix_key", "passes")), "mix_key").select("mix_key", "block", "partial", "units", F.slice(drawn, F.lit(1), F.col("units").cast("int")).alias("drawn"))
     edge = slim.join(sums.where("partial").select("mix_key", "block", "room"), ["mix_key", "block"])
+    # One line a row, twins summed, so that a row repeated a million times is no hot group.
+    edge = edge.groupBy("mix_key", "mix_row", "room").agg(F.sum("mix_size").alias("mix_size"))
     some = edge.select("mix_key", "mix_row", "mix_size", "room").groupBy("mix_key").applyInPandas(_fit, "mix_key string, mix_row long, fits boolean")
 
-    out = _keyed(docs, source, text, seed).join(small(spec.drop("passes", "rest")), "mix_key").withColumn("block", block)
-    out = out.join(blocks, ["mix_key", "block"]).join(some, ["mix_key", "mix_row"], "left")
     # The unit that would overrun is the block's last; those of its documents that do not fit lose it.
     whole = F.when(F.col("partial") & F.col("fits").isNull(), F.slice("drawn", F.lit(1), F.greatest(F.col("units").cast("int") - 1, F.lit(0)))).otherwise(F.col("drawn"))
-    out = out.withColumn("mix_shards", F.when(F.col("mix_size") > 0, whole).otherwise(F.array().cast("array<int>")))
+    shards_of = F.when(F.col("mix_size") > 0, whole).otherwise(F.array().cast("array<int>"))
+    drawn_rows = slim.select("mix_key", "mix_row", "mix_size", "block").join(blocks, ["mix_key", "block"]).join(some, ["mix_key", "mix_row"], "left").select("mix_key", "mix_row", "mix_size", shards_of.alias("drawn"))
+    # One line a row, twins summed, so that a row repeated often is no hot group.
+    lines = cut(drawn_rows.groupBy("mix_key", "mix_row").agg(F.sum("mix_size").alias("size"), F.max(F.size("drawn")).alias("times")))
+    short = lines.groupBy("mix_key").agg(F.sum(F.col("size") * F.col("times")).alias("words")).join(small(spec.select("mix_key", "mix_target", "passes")), "mix_key").select("mix_key", "passes", (F.col("mix_target") - F.col("words")).alias("short"))
+    # What is still short: of all documents that only whole passes have taken, the one that brings the source nearest to its target.
+    near = F.struct(F.abs(F.col("short") - F.col("size")).alias("off"), "mix_row")
+    more = lines.where((F.col("size") > 0) & (F.col("times") < int(cap))).join(small(short), "mix_key").where("times <= passes").where(F.abs(F.col("short") - F.col("size")) < F.col("short"))
+    more = more.groupBy("mix_key").agg(F.min(near).alias("best")).select("mix_key", F.col("best.mix_row").alias("more"))
+
+    out = _keyed(docs, source, text, seed).join(small(spec.drop("passes", "rest")), "mix_key").withColumn("block", block)
+    out = out.join(blocks, ["mix_key", "block"]).join(some, ["mix_key", "mix_row"], "left").join(small(more), "mix_key", "left")
+    last = F.pmod(F.xxhash64(F.lit(seed + 2), "mix_row"), F.lit(shards)).cast("int")
+    out = out.withColumn("mix_shards", F.when(F.col("mix_row") == F.col("more"), F.concat(shards_of, F.array(last))).otherwise(shards_of))
     out = out.withColumn("mix_taken", (F.size("mix_shards") * F.col("mix_size")).cast("long"))
     return out.select(*[f"c{i}" for i in range(len(docs.columns))], "mix_row", *ADDED)
 
