@@ -1,11 +1,11 @@
-"""Lookups of nodes and rules by what a user types, cues of plugins, and numbered rows after a refresh."""
+"""Lookups of nodes and rules by what a user types, search by modes and scopes, cues of plugins, and numbered rows after a refresh."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import cues, numbering
+from lodestone.operators import cues, modes, numbering
 from lodestone.session import table
 
 from . import graphview as G
@@ -82,3 +82,49 @@ def refreshed_rows(spark: SparkSession, d: str) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk", "line")).select("doc_id", "chunk", F.md5("line").alias("hash"), F.lit(0).cast("long").alias("row"))
     fresh = docs.where("doc_id % 10 = 3").select("doc_id", F.lit(0).alias("chunk"), F.md5(F.concat(F.lit("new "), "doc_id")).alias("hash"))
     return numbering.refreshed(lines, fresh, docs.where("doc_id % 10 = 5").select("doc_id"), "doc_id", "doc_id", "chunk")
+
+
+#: name, query, mode, scopes, whether the query has a vector.
+ASKED = (
+    ("all", "the onti of", "semantic", (), True), ("words", "the onti of", "semantic", (), False), ("dossiers", "the onti of", "dep", (), True), ("knowledge", "the onti of", "knowledge", (), True),
+    ("narrow", "the onti of", "semantic", ("processes", "rules"), True), ("outside", "the onti of", "dep", ("rules",), True), ("names", "customer widget", "lexical", (), True), ("fallback", "supplier brand", "dep", ("code",), False), ("unknown", "the onti of", "other", ("nothing",), True),
+)
+
+
+def _bm25_sql(bag: str, key: str, query: str) -> str:
+    terms = " UNION ALL ".join(f"SELECT '{t}' AS term" for t in query.split())
+    return f"""(SELECT {key}, sum(ln((n - df + 0.5e0) / (df + 0.5e0) + 1.0e0) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS bm25 FROM (
+  SELECT *, count(*) OVER (PARTITION BY term)::DOUBLE AS df FROM (SELECT {key}, term, len(b)::DOUBLE AS dl, n, avgdl, len(list_filter(b, lambda w: w = term))::DOUBLE AS tf FROM
+    (SELECT *, count(*) OVER ()::DOUBLE AS n, avg(len(b)) OVER () AS avgdl FROM {bag}) g, ({terms}) q) t WHERE tf > 0) u GROUP BY {key})"""
+
+
+def _mode_sql(name: str, query: str, mode: str, scopes: tuple[str, ...], vector: bool) -> str:
+    names = f"SELECT '{name}' AS asked, node_id, 'lexical' AS field, round_even(bm25, 6) AS score FROM {_bm25_sql('nbag', 'node_id', query)} z WHERE round_even(bm25, 6) > 0 ORDER BY score DESC, node_id LIMIT 20"
+    if mode == "lexical" or name == "fallback":
+        return names
+    asked = modes.fields(mode, scopes)
+    within = f"field IN ({', '.join(repr(f) for f in asked)})" if asked else "false"
+    cosine = "list_dot_product(vector::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))" if vector else "0e0"
+    return f"""SELECT '{name}' AS asked, node_id, field, score FROM (SELECT *, round_even(0.4e0 * CASE WHEN mb > 0 THEN coalesce(bm25, 0) / mb ELSE 0 END + 0.6e0 * CASE WHEN mc > 0 THEN cosine / mc ELSE 0 END, 6) AS score FROM (
+  SELECT i.*, w.bm25, {cosine} AS cosine, max(w.bm25) OVER () AS mb, max({cosine}) OVER () AS mc FROM idx i LEFT JOIN {_bm25_sql(f"(SELECT * FROM idx WHERE {within})", "row", query)} w ON w.row = i.row WHERE {within}) a) b WHERE score > 0 ORDER BY score DESC, row LIMIT 20"""
+
+
+INDEX_SQL = """, idx AS (SELECT doc_id AS row, 'doc::' || source AS node_id, CASE doc_id % 7 WHEN 0 THEN 'dossier_body' WHEN 1 THEN 'rule_statement' WHEN 2 THEN 'domain_summary' WHEN 3 THEN 'process_summary' WHEN 4 THEN 'process_step' WHEN 5 THEN 'node_summary' ELSE 'other' END AS field,
+  embedding AS vector, regexp_extract_all(lower(concat_ws(' ', text, 'doc::' || source)), '[a-z0-9]+') AS b FROM documents JOIN embeddings ON vec_id = doc_id),
+nbag AS (SELECT id AS node_id, regexp_extract_all(lower(concat_ws(' ', id, name, kind, path)), '[a-z0-9]+') AS b FROM nodes)"""
+
+
+@query(INDEX_SQL + " " + " UNION ALL ".join(f"(SELECT * FROM ({_mode_sql(*a)}) m)" for a in ASKED))
+def search_modes(spark: SparkSession, d: str) -> DataFrame:
+    """SET-02, TXT-03: nine searches by mode and scope, with and without a vector, and by names where an index has nothing."""
+    vectors = table(spark, d, "embeddings")
+    kinds = ("dossier_body", "rule_statement", "domain_summary", "process_summary", "process_step", "node_summary", "other")
+    field = F.coalesce(*[F.when(F.col("doc_id") % 7 == k, f) for k, f in enumerate(kinds)])
+    index = table(spark, d, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    index = index.select(F.col("doc_id").alias("row"), F.concat(F.lit("doc::"), "source").alias("node_id"), field.alias("field"), "text", "vector")
+    vector = list(vectors.where("vec_id = 0").first()["embedding"])
+    out = None
+    for name, text, mode, scopes, has in ASKED:
+        got = modes.find(index, G.nodes(spark, d), text, vector if has else None, mode, scopes).select(F.lit(name).alias("asked"), "*")
+        out = got if out is None else out.unionByName(got)
+    return out
