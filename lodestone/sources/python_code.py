@@ -71,7 +71,7 @@ def _events(fn: ast.AST, in_class: bool) -> Iterator[tuple[str, int, str | None,
 
 
 def facts(repo: str, path: str, text: str) -> list[tuple]:
-    """Rows of FACTS: symbols, imports, bases, decorators, asserted calls, and the events of functions; none for a file that does not parse."""
+    """Rows of FACTS: symbols, imports, bases, decorators, asserted calls, the module's variables that functions read and assign, and the events of functions; none for a file that does not parse."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError):
@@ -82,6 +82,16 @@ def facts(repo: str, path: str, text: str) -> list[tuple]:
     def put(what, id_, line, primitive=None, name=None, owner=None, target=None, module=None, level=0, ord_=0, var=None):
         out.append((what, repo, path, id_, primitive, name, owner, line, target, module, level, ord_, var))
 
+    # Variables of the module: what its own statements assign; the first line of each counts.
+    variables: dict[str, int] = {}
+    for statement in tree.body:
+        targets = statement.targets if isinstance(statement, ast.Assign) else [statement.target] if isinstance(statement, ast.AnnAssign) else []
+        for t in targets:
+            if isinstance(t, ast.Name):
+                variables.setdefault(t.id, statement.lineno)
+    for name, line in variables.items():
+        put("symbol", f"{here}::{name}", line, "variable", name, here)
+
     def visit(node: ast.AST, owner: str, prefix: str, inside: str) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
@@ -99,6 +109,9 @@ def facts(repo: str, path: str, text: str) -> list[tuple]:
                 if kind == "function" and inside != "function":
                     for op, at, var, called, line in _events(child, inside == "class"):
                         put(op, me, line, name=called, owner=owner, ord_=at, var=var)
+                    for x in ast.walk(child):
+                        if isinstance(x, ast.Name) and x.id in variables and isinstance(x.ctx, (ast.Load, ast.Store)):
+                            put("load" if isinstance(x.ctx, ast.Load) else "store", me, x.lineno, name=x.id, owner=owner)
                     for check in (x for x in ast.walk(child) if isinstance(x, ast.Assert)):
                         for c in ast.walk(check.test):
                             if isinstance(c, ast.Call) and isinstance(c.func, ast.Name):
@@ -157,7 +170,7 @@ def imports(found: DataFrame) -> DataFrame:
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """src, dst, kind, confidence: imports (seen through packages), bases, calls with typed receivers, decorators, asserted calls and containment."""
+    """src, dst, kind, confidence: imports (seen through packages), bases, calls with typed receivers, reads and assignments of a module's variables, decorators, asserted calls and containment."""
     sym = symbols(found)
     top = sym.alias("s").join(sym.where("primitive = 'module'").select(F.col("id").alias("owner")), "owner", "left_semi").select(F.col("owner").alias("module"), "name", "id", "primitive")
     packages = sym.where("primitive = 'module' AND path RLIKE '(^|/)__init__[.]py$'").select("id")
@@ -182,6 +195,7 @@ def resolve(found: DataFrame) -> DataFrame:
         at_module.where("what = 'chain'").select(F.col("id").alias("src"), F.col("module_id").alias("module"), F.col("name").alias("rest"), F.col("var").alias("name")).join(names.where(R.is_external("target")), ["module", "name"]).select("src", F.concat_ws("::", "target", "rest").alias("dst"), F.lit("calls").alias("kind"), F.lit("external").alias("confidence")),
         # What decorates points at what it decorates.
         inside.where("what = 'decorator'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("decorates").alias("kind"), F.lit("exact").alias("confidence")),
+        at_module.where("what IN ('load', 'store')").select(F.col("id").alias("src"), F.concat_ws("::", "module_id", "name").alias("dst"), F.when(F.col("what") == "load", "reads").otherwise("assigns").alias("kind"), F.lit("exact").alias("confidence")),
         inside.where("what = 'asserted' AND dst_kind = 'function'").select("src", "dst", F.lit("tests").alias("kind"), sure.alias("confidence")),
         sym.where("owner IS NOT NULL").select(F.col("owner").alias("src"), F.col("id").alias("dst"), F.lit("defines").alias("kind"), F.lit("exact").alias("confidence")),
     ]

@@ -88,6 +88,7 @@ FILES = {
     "pkg/api/__init__.py": "from .impl import Client, _hidden\nfrom .impl import helper\n",
     "pkg/api/impl.py": "import requests\n\nclass Base:\n    def close(self):\n        pass\n\nclass Client(Base):\n    def send(self):\n        self.flush()\n        return requests.post('x')\n    def flush(self):\n        pass\n    @staticmethod\n    def make(c):\n        c.flush()\n\ndef helper():\n    pass\n\ndef _hidden():\n    pass\n",
     "pkg/db.py": "from sqlalchemy.orm import Session\nimport sqlalchemy.orm\n\nclass Row(sqlalchemy.orm.Mapped):\n    pass\n\nclass Mine(Exception):\n    pass\n",
+    "var.py": "LIMIT: int = 3\nNAMES = OTHER = []\n\ndef look(x):\n    global LIMIT\n    LIMIT = x\n    y = NAMES\n    return LIMIT + y\n\ndef Row():\n    pass\n",
     "use.py": "import pkg\nimport pkg.api.impl as impl\nfrom pkg import Client, Db, helper, Nothing\n\ndef deco(f):\n    return f\n\n@deco\ndef go(c: Client, d: 'Db | None', n: list):\n    c.send()\n    d.query()\n    n.append(1)\n    e = c\n    e.send()\n    e = Client()\n    e.close()\n    e.flush()\n    if True:\n        with Client() as e:\n            e.send()\n        if True:\n            with Client() as w:\n                pass\n    w.send()\n    helper()\n    impl.helper()\n    a.b.c()\n\ndef test_it():\n    assert helper()\n",
 }
 
@@ -104,8 +105,10 @@ def test_python_files(spark):
         (go, f"{client}.send", "calls", "exact"), (go, "external::pypi::sqlalchemy::Session::query", "calls", "external"), (go, "external::builtins::list::append", "calls", "external"), (go, client, "instantiates", "exact"),
         (go, f"external::unresolved::{client}.close", "calls", "unresolved_internal"), (go, f"{client}.flush", "calls", "exact"), (go, "pkg/api/impl.py::helper", "calls", "exact"), ("use.py::deco", go, "decorates", "exact"),
         ("use.py::test_it", "pkg/api/impl.py::helper", "tests", "exact"), ("pkg/api/impl.py", client, "defines", "exact"),
+        ("var.py::look", "var.py::LIMIT", "reads", "exact"), ("var.py::look", "var.py::LIMIT", "assigns", "exact"), ("var.py::look", "var.py::NAMES", "reads", "exact"), ("var.py", "var.py::OTHER", "defines", "exact"),
     ]:
         assert want in got, want
     # The breadth-first order: a binding that lies deeper than the call comes after it; e is typed by its assignment before any call.
     assert (go, "external::unresolved::w.send", "calls", "unresolved_receiver") in got and not any(x[1].endswith("::e.send") for x in got)
+    assert not any(x[1] == "var.py::OTHER" and x[2] != "defines" for x in got) and ("var.py::look", "var.py::NAMES", "assigns", "exact") not in got
     assert not any("c()" in x[1] or x[1].endswith("a.b.c") for x in got)
