@@ -46,3 +46,13 @@ def test_unclaimed_is_not_in(spark):
     assert n(["a", None], ["a", "b", None]) == []
     assert n([], ["a", None]) == [2]
     assert n([], []) == [] and n(["a"], ["a"]) == []
+
+
+def test_one_key_is_spread_over_tasks(spark):
+    from lodestone.plans.lookup_queries import spread_join
+
+    left = spark.range(200).select(F.col("id").alias("ask"), F.lit("k").alias("target"))
+    right = spark.range(50).select(F.lit("k").alias("target"), F.col("id"))
+    got = spread_join(left, right, "target", "ask")
+    assert {(x.ask, x.id) for x in got.collect()} == {(a, b) for a in range(200) for b in range(50)} and got.count() == 10_000
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
