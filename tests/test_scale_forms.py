@@ -56,3 +56,8 @@ def test_one_key_is_spread_over_tasks(spark):
     got = spread_join(left, right, "target", "ask")
     assert {(x.ask, x.id) for x in got.collect()} == {(a, b) for a in range(200) for b in range(50)} and got.count() == 10_000
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@needs_tables
+def test_pairs_of_routes_travel_no_further(spark):
+    assert "LeftAnti" not in plan_of(equals_sql(spark, "route_call_join"))
