@@ -59,15 +59,21 @@ def _exports(edges: DataFrame, symbols: DataFrame, before: DataFrame | None) ->
 def reexports(imports: DataFrame, symbols: DataFrame, packages: DataFrame, cap: int = CAP) -> DataFrame:
     """imports, those that take a name from a package led on to what the package offers under it, through any chain of packages.
 
-    A round works out what packages offer from the edges as they stand and from the offers of the round before, then moves every
+    A round works out what packages offer from their edges as they stand and from the offers of the round before, then moves every
     edge that still ends at a package. It ends when neither edges nor offers change, at the latest after cap rounds; the rest
-    stays at its package. Adds moved (whether the target changed). Each round writes its two tables once;
+    stays at its package. Only a package's own edges bear on what is offered, and where an edge of another module goes depends on
+    its target and name alone: so rounds carry the edges of packages and the different (target, name) of the others, whose edges follow in one
+    join at the end. Adds moved (whether the target changed). Each round writes its two tables once;
     an observation of the write tells what changed, so no round needs another job.
     """
-    plain = packages.select(F.col("id").alias("module")).distinct().withColumn("package", F.lit(True))
-    marked = imports.join(plain, "module", "left").withColumn("package", F.coalesce("package", F.lit(False)))
+    plain = packages.select(F.col("id").alias("module")).distinct()
     columns = imports.columns
-    edges = cut(marked.select(*columns, "package", F.col("target").alias("origin"), F.lit(False).alias("now")))
+    nothing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in imports.schema}
+    own = imports.join(plain, "module", "left_semi").select(*columns, F.lit(True).alias("package"), F.col("target").alias("origin"), F.lit(False).alias("now"))
+    # What ends elsewhere than at a package never moves.
+    asked = imports.where("via = 'import_from' AND name IS NOT NULL").join(plain.withColumnRenamed("module", "target"), "target", "left_semi").select("target", "name").distinct()
+    asked = asked.select(*[F.col(c) if c in ("target", "name") else F.lit("import_from").alias(c) if c == "via" else nothing[c] for c in columns], F.lit(False).alias("package"), F.col("target").alias("origin"), F.lit(False).alias("now"))
+    edges = cut(own.unionByName(asked))
     symbols = cut(symbols.select("module", "name", "id").distinct())
     offers, state = None, None
     for _ in range(cap):
@@ -90,7 +96,9 @@ def reexports(imports: DataFrame, symbols: DataFrame, packages: DataFrame, cap:
             break
         state = now
     release(offers, symbols)
-    return edges.select(*columns, (F.col("target") != F.col("origin")).alias("moved"))
+    ends = edges.where("NOT package AND target <> origin").select(F.lit("import_from").alias("via"), F.col("origin").alias("target"), "name", F.col("target").alias("end"))
+    got = imports.join(ends, ["via", "target", "name"], "left")
+    return got.select(*[F.coalesce("end", "target").alias("target") if c == "target" else F.col(c) for c in columns], F.coalesce(F.col("end") != F.col("target"), F.col("target") != F.col("target")).alias("moved"))
 
 
 def bindings(imports: DataFrame) -> DataFrame:

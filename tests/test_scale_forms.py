@@ -61,3 +61,17 @@ def test_one_key_is_spread_over_tasks(spark):
 @needs_tables
 def test_pairs_of_routes_travel_no_further(spark):
     assert "LeftAnti" not in plan_of(equals_sql(spark, "route_call_join"))
+
+
+def test_rounds_of_reexports_carry_each_question_once(spark, monkeypatch):
+    from lodestone.operators import resolve
+
+    sizes = []
+    plain = resolve.cut
+    monkeypatch.setattr(resolve, "cut", lambda df: sizes.append((out := plain(df)).count()) or out)
+    imports = [("p", 1, "import_from", "K", "K", "q"), ("q", 1, "import_from", "K", "K", "m::K")] + [(f"m{i}", i, "import_from", "K", "L", "p") for i in range(300)] + [("m0", 400, "import", None, "lib", "external::lib")]
+    rows = spark.createDataFrame(imports, "module string, ord int, via string, name string, binding string, target string")
+    got = resolve.reexports(rows, spark.createDataFrame([], "module string, name string, id string"), spark.createDataFrame([("p",), ("q",)], "id string"))
+    ends = {(x.module, x.target, x.moved) for x in got.collect()}
+    assert ends == {("p", "m::K", True), ("q", "m::K", False), ("m0", "external::lib", False)} | {(f"m{i}", "m::K", True) for i in range(300)}
+    assert max(sizes) <= 4
