@@ -75,3 +75,15 @@ def test_rounds_of_reexports_carry_each_question_once(spark, monkeypatch):
     ends = {(x.module, x.target, x.moved) for x in got.collect()}
     assert ends == {("p", "m::K", True), ("q", "m::K", False), ("m0", "external::lib", False)} | {(f"m{i}", "m::K", True) for i in range(300)}
     assert max(sizes) <= 4
+
+
+def test_pairs_of_one_route_are_made_in_several_tasks(spark, tmp_path):
+    from lodestone.plans.text_queries import NEAR_IDS, route_call_join
+
+    ids = [*range(300), *range(NEAR_IDS, NEAR_IDS + 100), 5 * NEAR_IDS + 1]
+    rows = [(i, f"http://h/en/{i}") for i in ids] + [(90_000, "http://h"), (90_001, "http://h"), (90_002, None), (90_003, None)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = route_call_join(spark, str(tmp_path))
+    want = {(a, b) for a in ids for b in ids if a % 2 == 0 and b % 2 == 1 and b != a + 1 and (a % 3 == 2) == (b % 3 == 2)}
+    assert got.count() == len(want) and {(x.call_id, x.endpoint_id) for x in got.collect()} == want
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
