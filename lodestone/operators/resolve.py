@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lodestone.storage import cut, release
+from lodestone.storage import collect_shuffles, cut, release
 
 #: Rounds of the re-export closure; classes that need no import.
 CAP = 10
@@ -170,13 +170,12 @@ def typed(events: DataFrame, names: DataFrame, symbols: DataFrame) -> DataFrame:
     ranked = symbols.select("module", "name", F.col("id").alias("target"), F.lit(0).alias("rank")).unionByName(names.select("module", "name", "target", F.lit(1).alias("rank")))
     meant = ranked.groupBy("module", "name").agg(F.min_by("target", "rank").alias("target")).join(symbols.select(F.col("id").alias("target"), "primitive").distinct(), "target", "left")
     found = meant.where(is_class("target", "primitive")).select("module", F.col("name").alias("type"), F.col("target").alias("class"))
-    given = events.join(found, ["module", "type"], "left")
+    given = events.where("op <> 'call'").join(found, ["module", "type"], "left")
     builtin = (F.col("op") == "annotate") & F.col("type").isin(*BUILTINS)
     of = F.when(F.col("op") == "self", F.col("owner")).when(builtin, F.concat(F.lit("external::builtins::"), F.col("type"))).otherwise(F.col("class"))
-    given = given.withColumn("given", F.when(F.col("op") != "call", of))
     # Branches of a union are events of one place: together they are the new types.
-    place = given.where("op <> 'call' AND given IS NOT NULL").groupBy("fn", "var", "ord").agg(F.array_sort(F.collect_set("given")).alias("types"))
-    calls = given.where("op = 'call'").select(*events.columns)
+    place = given.withColumn("given", of).where("given IS NOT NULL").groupBy("fn", "var", "ord").agg(F.array_sort(F.collect_set("given")).alias("types"))
+    calls = events.where("op = 'call'")
     both = calls.withColumn("types", F.lit(None).cast("array<string>")).withColumn("is_call", F.lit(True)).unionByName(place.withColumn("is_call", F.lit(False)), allowMissingColumns=True)
     before = Window.partitionBy("fn", "var").orderBy("ord", "is_call").rowsBetween(Window.unboundedPreceding, -1)
     return both.withColumn("types", F.last("types", ignorenulls=True).over(before)).where("is_call").drop("is_call")
@@ -188,37 +187,51 @@ def call_edges(events: DataFrame, names: DataFrame, symbols: DataFrame, methods:
     methods: class, name, id. A call has var (its receiver, null for a bare name) and name. Bare: the module's own name, else
     the bound one; a class is instantiated, a function or an outside name called. With a typed receiver: each type's method, an outside type's
     name with the method's added, else unresolved. Untyped: a bound outside name with the method's added, a symbol of a bound module, else unresolved.
+
+    Events, typed calls and the edges of each of the three kinds are written, each once, and the shuffle files of a step are deleted before the
+    next: the result reads none of the inputs any more.
     """
+    spark = events.sparkSession
+    # What earlier steps shuffled goes first.
+    collect_shuffles(spark)
+    events = cut(events.select("fn", "module", "ord", "op", "var", "type", "name", "owner"))
+    collect_shuffles(spark)
     kinds = symbols.select(F.col("id").alias("target"), "primitive").distinct()
     # A module's names are its own symbols, and what it imports from the corpus.
     local = symbols.select("module", "name", F.col("id").alias("own")).distinct()
     offered = symbols.select("module", "name", F.col("id").alias("target"), F.lit(0).alias("rank")).unionByName(names.where(~is_external("target")).select("module", "name", "target", F.lit(1).alias("rank")))
     offered = offered.groupBy("module", "name").agg(F.min_by("target", "rank").alias("target"))
     bound = names.select("module", "name", F.col("target").alias("bound"))
-    calls = typed(events, names, symbols)
+    # A bare name has no receiver, so no type.
+    calls = cut(typed(events.where("var IS NOT NULL"), names, symbols).select("fn", "module", "ord", "var", "name", "types"))
+    collect_shuffles(spark)
 
     def called(df: DataFrame, via: str) -> DataFrame:
         got = df.join(kinds, "target", "left").where(F.col("primitive").isin("class", "function") | is_external("target"))
         return got.select("fn", "ord", "target", F.when(F.col("primitive") == "class", "instantiates").otherwise("calls").alias("kind"), F.lit(via).alias("via"), F.lit("exact").alias("confidence"))
 
-    bare = calls.where("var IS NULL").join(local, ["module", "name"], "left").join(bound, ["module", "name"], "left")
-    bare = called(bare.select("fn", "ord", F.coalesce("own", "bound").alias("target")).where("target IS NOT NULL"), "function_call")
+    bare = events.where("op = 'call' AND var IS NULL").select("fn", "module", "ord", "name").join(local, ["module", "name"], "left").join(bound, ["module", "name"], "left")
+    bare = cut(called(bare.select("fn", "ord", F.coalesce("own", "bound").alias("target")).where("target IS NOT NULL"), "function_call"))
+    release(events)
+    collect_shuffles(spark)
 
-    method = calls.where("var IS NOT NULL AND size(types) > 0").select("fn", "ord", "name", F.explode("types").alias("class")).join(methods.select("class", "name", "id"), ["class", "name"], "left")
+    sure = lambda found: F.when(found | ~is_external("target"), "exact").otherwise(confidence(F.col("target")))
+    method = calls.where("size(types) > 0").select("fn", "ord", "name", F.explode("types").alias("class")).join(methods.select("class", "name", "id"), ["class", "name"], "left")
     to = F.when(is_external("class"), F.concat_ws("::", "class", "name")).when(F.col("id").isNotNull(), F.col("id")).otherwise(F.concat(F.lit("external::unresolved::"), "class", F.lit("."), "name"))
     method = method.select("fn", "ord", to.alias("target"))
+    method = cut(method.select("fn", "ord", "target", F.lit("calls").alias("kind"), F.lit("method_call").alias("via"), sure(F.lit(False)).alias("confidence")))
+    collect_shuffles(spark)
 
-    loose = calls.where("var IS NOT NULL AND types IS NULL").join(bound.withColumnRenamed("name", "var"), ["module", "var"], "left")
+    loose = calls.where("types IS NULL").drop("types").join(bound.withColumnRenamed("name", "var"), ["module", "var"], "left")
     inside = offered.select(F.col("module").alias("bound"), "name", F.col("target").alias("symbol"))
     loose = loose.join(inside, ["bound", "name"], "left").join(kinds.select(F.col("target").alias("symbol"), F.col("primitive").alias("symbol_kind")), "symbol", "left")
     usable = F.col("symbol_kind").isin("class", "function")
     to = F.when(is_external("bound"), F.concat_ws("::", "bound", "name")).when(usable, F.col("symbol")).otherwise(F.concat(F.lit("external::unresolved::"), "var", F.lit("."), "name"))
     loose = loose.select("fn", "ord", to.alias("target"), F.when(~is_external("bound") & usable & (F.col("symbol_kind") == "class"), "instantiates").otherwise("calls").alias("kind"), (is_external("bound") | usable).alias("found"))
-    sure = lambda found: F.when(found | ~is_external("target"), "exact").otherwise(confidence(F.col("target")))
-    return (
-        bare.unionByName(method.select("fn", "ord", "target", F.lit("calls").alias("kind"), F.lit("method_call").alias("via"), sure(F.lit(False)).alias("confidence")))
-        .unionByName(loose.select("fn", "ord", "target", "kind", F.lit("method_call").alias("via"), sure(F.coalesce("found", F.lit(False))).alias("confidence")))
-    )
+    loose = cut(loose.select("fn", "ord", "target", "kind", F.lit("method_call").alias("via"), sure(F.coalesce("found", F.lit(False))).alias("confidence")))
+    release(calls)
+    collect_shuffles(spark)
+    return bare.unionByName(method).unionByName(loose)
 
 
 # ---- tables

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import resolve as R
+from lodestone.storage import cut, release
 
 from .codeview import view, with_views
 from .registry import ORACLE, QUERIES
@@ -98,7 +99,11 @@ t AS (SELECT fn, ord, var, bare AS target, CASE WHEN bare_kind = 'class' THEN 'i
 @on_code(f"{TYPED} SELECT fn, ord, target, kind, via, CASE WHEN sure THEN 'exact' ELSE {CONFIDENCE} END AS confidence FROM t", *CODE, "c_events", "c_methods")
 def call_edges(packages: DataFrame, symbols: DataFrame, imports: DataFrame, events: DataFrame, methods: DataFrame) -> DataFrame:
     """JON-13: calls of functions, bare, on typed receivers and on imported names."""
-    return R.call_edges(events, _names(packages, symbols, imports), symbols, methods)
+    symbols = cut(symbols)
+    names = cut(_names(packages, symbols, imports))
+    edges = R.call_edges(events, names, symbols, methods)
+    release(symbols, names)
+    return edges
 
 
 @on_code(f"{TYPED} SELECT fn, ord, class AS type FROM calls WHERE class IS NOT NULL", *CODE, "c_events", "c_methods")

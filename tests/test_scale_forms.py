@@ -87,3 +87,15 @@ def test_pairs_of_one_route_are_made_in_several_tasks(spark, tmp_path):
     want = {(a, b) for a in ids for b in ids if a % 2 == 0 and b % 2 == 1 and b != a + 1 and (a % 3 == 2) == (b % 3 == 2)}
     assert got.count() == len(want) and {(x.call_id, x.endpoint_id) for x in got.collect()} == want
     assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+@needs_tables
+def test_call_edges_are_written_step_by_step(spark):
+    """What a step shuffles does not stay until the last: no join is left to the result, which reads its inputs no more."""
+    plan = plan_of(equals_sql(spark, "call_edges"))
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+@needs_tables
+def test_receiver_types_equal_sql(spark):
+    equals_sql(spark, "receiver_types")
